@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexafact.llm import bpe
-from hexafact.llm.session import documents
+from hexafact.llm import bpe, quality, sharding
+from hexafact.llm.session import documents, materialise
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -29,5 +29,25 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+SHARDS = 24
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(documents(spark, sf_dir), SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    counts = materialise(quality.measure(docs, ["doc_id", "lang"]), "quality-counts")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    found = quality.cutoffs(counts.join(labels, "doc_id"), "lang")
+    return counts.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.base_failed().alias("base_failed"),
+        (~quality.base_failed() & quality.verdict(found, "lang")).alias("kept"),
+    )
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules}
 SQL: dict[str, str] = {}
