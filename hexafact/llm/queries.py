@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexafact.llm import bpe, quality, sharding
+from hexafact.llm import bpe, quality, sharding, toxicity
 from hexafact.llm.session import documents, materialise
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -49,5 +49,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules}
+HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Trained on the labelled rows that are not held out; a document labelled more than once is toxic if one label says so."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~F.expr(HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir), keep=["doc_id"])
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity}
 SQL: dict[str, str] = {}
