@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexafact.llm import bpe, quality, sharding, toxicity
-from hexafact.llm.session import documents, materialise
+from hexafact.llm import bpe, neighbours, quality, sharding, simhash, toxicity
+from hexafact.llm.session import documents, materialise, parallelism
+from hexafact.llm.text import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -64,5 +68,45 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity}
+def _edited(own: list[str], following: list[str]) -> dict:
+    """Fingerprints of each text, of the next one, and of the text with its last quarter taken from the next one."""
+    cut = [len(t) // 4 for t in own]
+    edited = [(t[: len(t) - k] + f[:k]).encode("utf-8", "surrogatepass") for t, f, k in zip(own, following, cut, strict=True)]
+    plain = {t: i for i, t in enumerate(dict.fromkeys([*own, *following]))}
+    raw = [t.encode("utf-8", "surrogatepass") for t in plain]
+
+    def prints(texts: list[bytes]) -> list[str]:
+        out: list[str] = []
+        offs = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        for a, b in slices(offs, 1 << 20):
+            out += [f.hex() for f in simhash.fingerprints(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]
+        return out
+
+    found = prints(raw)
+    return {
+        "n_chars": [len(t) for t in own],
+        "edited_sha256": [hashlib.sha256(t).hexdigest() for t in edited],
+        "fingerprint": [found[plain[t]] for t in own],
+        "edited_fingerprint": prints(edited),
+        "next_fingerprint": [found[plain[t]] for t in following],
+    }
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also n_within: for ids divisible by 50, how many different fingerprints lie within the radius, its own included."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rows = neighbours.with_next(docs, 3 * parallelism(spark), _edited, "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
+    rows = materialise(rows, "fingerprints")
+    within = simhash.search(rows, rows.where("doc_id % 50 = 0"))
+    asked = rows.where("doc_id % 50 = 0").select("doc_id", "fingerprint").distinct().join(within, "fingerprint").select("doc_id", "n_within")
+    return rows.join(asked, "doc_id", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        simhash.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        simhash.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        "n_within",
+    )
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity}
 SQL: dict[str, str] = {}
