@@ -59,7 +59,7 @@ HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Trained on the labelled rows that are not held out; a document labelled more than once is toxic if one label says so."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~F.expr(HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.train(docs, labels)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from hexafact.llm.mapping import add_columns
 
 TOXIC_ROWS = 2_000
-ORDINARY_ROWS = 6_000
+ORDINARY_ROWS = 4_000
 CALIBRATION_ROWS = 5_000
 WINDOW_BYTES = 40
 LEVEL = 3
@@ -161,30 +161,31 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], ...]:
     return tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist())
 
 
-def train(labelled: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", seed: int = 11) -> Model:
-    """A model from labelled texts (1: toxic). Null labels and null texts are left out."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).alias("y"), F.col(text).alias("t"), F.xxhash64(F.col(doc_id), F.lit(seed)).alias("h")
-    )
-    order = ["h", "t"]
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", seed: int = 11) -> Model:
+    """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, 1: toxic), one row for each id. Null labels and null texts are left out.
+
+    Ids are chosen from the labels alone, so the texts are read, never shuffled.
+    """
+    spark = docs.sparkSession
+    ids = labels.where(F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), (F.col(label) == 1).cast("int").alias("y"), F.xxhash64(F.col(doc_id), F.lit(seed)).alias("h"))
     half = F.pmod("h", F.lit(2))
 
-    def lowest(which, n: int) -> list[bytes]:
-        return [r["t"].encode() for r in rows.where(which).orderBy(*order).limit(n).collect()]
+    def lowest(which, n: int, part: str) -> list[tuple]:
+        return [(r["id"], r["y"], r["h"], part) for r in ids.where(which).orderBy("h", "id").limit(n).collect()]
 
-    toxic = lowest((F.col("y") == 1) & (half == 0), TOXIC_ROWS)
-    ordinary = lowest((F.col("y") != 1) & (half == 0), ORDINARY_ROWS)
-    prior = (len(toxic) + 1) / (len(toxic) + len(ordinary) + 2)
+    chosen = lowest((F.col("y") == 1) & (half == 0), TOXIC_ROWS, "words") + lowest((F.col("y") == 0) & (half == 0), ORDINARY_ROWS, "words") + lowest(half == 1, CALIBRATION_ROWS, "fit")
+    prior = (sum(c[1] for c in chosen) + 1) / (len(chosen) + 2)
+    table = F.broadcast(spark.createDataFrame(chosen, "id bigint, y int, h bigint, part string"))  # a bounded sample
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(table, "id")
+    words = sorted(((r["h"], r["id"], r["t"].encode(), r["y"]) for r in rows.where("part = 'words'").select("h", "id", "t", "y").collect()))
+    toxic, ordinary = [w[2] for w in words if w[3]], [w[2] for w in words if not w[3]]
     if not toxic or not ordinary:
         return Model(b"", b"", (), prior)
     base, marked = dictionaries(toxic, ordinary)
-    model = Model(base, marked, (), prior)
-    sample = rows.where(half == 1).orderBy(*order).limit(CALIBRATION_ROWS)
-    got = _evidence(sample, model, "t", ["y"]).toPandas()
-    x, y = np.array(got["evidence"].tolist(), float).reshape(-1, FEATURES), (got["y"] == 1).to_numpy(float)
-    if len(set(y.tolist())) < 2:
+    got = sorted((r["h"], r["id"], r["y"], r["evidence"]) for r in _evidence(rows.where("part = 'fit'"), Model(base, marked, (), prior), "t", ["h", "id", "y"]).collect())
+    if len({g[2] for g in got}) < 2:
         return Model(b"", b"", (), prior)
-    return Model(base, marked, fit(x, y), prior)
+    return Model(base, marked, fit(np.array([g[3] for g in got], float), np.array([g[2] for g in got], float)), prior)
 
 
 def _evidence(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
