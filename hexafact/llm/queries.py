@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexafact.llm import bpe, lines, mixing, neighbours, quality, sharding, simhash, toxicity
+from hexafact.llm import bpe, lines, mixing, neighbours, passages, quality, sharding, simhash, toxicity
 from hexafact.llm.session import documents, materialise, parallelism
 from hexafact.llm.text import slices
 
@@ -113,11 +113,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each time that the mixture takes a document."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source").withColumn("n_tokens", mixing.word_count())
     return mixing.mix(docs, F.col("n_tokens")).select("doc_id", "source", "n_tokens", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op9_mixing": op9_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_passages": op8_passages, "op9_mixing": op9_mixing}
 SQL: dict[str, str] = {}

@@ -7,12 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hexafact.shipping import ship
+
 #: Rows in a batch sent to a Python worker: few, as a text may be long.
 BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the batches sent to Python workers. Returns the session."""
+    """Bound the batches sent to Python workers, and let them find this package. Returns the session."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
