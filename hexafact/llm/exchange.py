@@ -43,7 +43,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def packed(bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket. ``keys`` may be a structured array."""
     order = np.argsort(bucket, kind="stable")
-    bucket, keys, docs, places = bucket[order], keys[order], docs[order], places[order].astype(np.int32)
+    bucket, keys, docs, places = bucket[order], keys[order], docs[order], places[order]
     head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     ends = np.append(head[1:], len(bucket))
 
@@ -54,43 +54,46 @@ def packed(bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray, places: np.nd
     return pa.RecordBatch.from_arrays([pa.array(bucket[head].astype(np.int32)), cut(keys), cut(docs), cut(places)], names=["bucket", "keys", "docs", "places"])
 
 
-def flags(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """A row of places for each document."""
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order].astype(np.int32)
+def flags(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """A row of values (places, or spans) for each document."""
+    order = np.argsort(docs, kind="stable")
+    docs, values = docs[order], values[order]
     head = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
     ends = np.append(head[1:], len(docs)).tolist()
-    raw = places.tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(docs[head], pa.int64()), pa.array([raw[4 * a : 4 * b] for a, b in zip(head.tolist(), ends, strict=True)], pa.binary())], names=["doc_id", "places"])
+    raw, size = np.ascontiguousarray(values).tobytes(), values.dtype.itemsize
+    made = [raw[size * a : size * b] for a, b in zip(head.tolist(), ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(docs[head], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "places"])
 
 
-#: keys, documents and places of a whole bucket -> flagged documents and places
-Decide = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: the joined columns of a whole bucket -> flagged documents and their values
+Decide = Callable[..., tuple[np.ndarray, np.ndarray]]
 #: Rows with this bucket carry flags that a slice has decided alone.
 DECIDED = -1
 
 
-def decided(entries: DataFrame, decide: Decide, key_type: np.dtype) -> DataFrame:
-    """Flags (doc_id, places) from dealt entries; those of DECIDED rows are passed on."""
+def decided(entries: DataFrame, decide: Decide, types: list, value_type) -> DataFrame:
+    """Flags (doc_id, places) from dealt entries; those of DECIDED rows are passed on.
+
+    ``entries`` has bucket, keys, docs, places and maybe more binary columns, of element types ``types``; in a DECIDED row, docs and places are the flags.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[tuple[bytes, bytes, bytes]] = []
+        own: list[tuple[bytes, ...]] = []
         at = None
 
         def close() -> Iterator[pa.RecordBatch]:
             if own:
-                keys, docs, places = (np.frombuffer(b"".join(c), t) for c, t in zip(zip(*own, strict=True), (key_type, np.int64, np.int32), strict=True))
-                yield flags(*decide(keys, docs, places))
+                yield flags(*decide(*(np.frombuffer(b"".join(c), t) for c, t in zip(zip(*own, strict=True), types, strict=True))))
 
         for b in batches:
-            for bucket, keys, docs, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, *columns in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket == DECIDED:
-                    yield flags(np.frombuffer(docs, np.int64), np.frombuffer(places, np.int32))
+                    yield flags(np.frombuffer(columns[1], np.int64), np.frombuffer(columns[2], value_type))
                     continue
                 if bucket != at:
                     yield from close()
                     own, at = [], bucket
-                own.append((keys, docs, places))
+                own.append(tuple(columns))
         yield from close()
 
     n = parallelism(entries.sparkSession)

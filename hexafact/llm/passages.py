@@ -92,7 +92,7 @@ def shared_anchors(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             start, doc, key = anchors(words, hashed, width)
             if not len(start):
                 continue
-            place, own = start - words.first[doc], ids[doc]
+            place, own = (start - words.first[doc]).astype(np.int32), ids[doc]
             order, head, many = _several(key, own)
             size = np.diff(np.append(head, len(order)))
             known = order[np.repeat(many, size)]
@@ -108,7 +108,7 @@ def shared_anchors(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         hit = order[np.repeat(many, np.diff(np.append(head, len(order))))]
         return ids[hit], places[hit]
 
-    return decided(docs.select("doc_id", "text").mapInArrow(send, ENTRY_SCHEMA), decide, np.dtype(np.uint64))
+    return decided(docs.select("doc_id", "text").mapInArrow(send, ENTRY_SCHEMA), decide, [np.uint64, np.int64, np.int32], np.int32)
 
 
 def _places(value: list[bytes] | None) -> np.ndarray:
@@ -146,7 +146,7 @@ def later_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             key = np.empty(len(start), WINDOW_KEY)
             key["a"] = mix(h.ranges(start, start + width))
             key["b"] = mix(Hasher.of(mix(hashed + np.uint64(77))).ranges(start, start + width)) >> np.uint64(32)
-            place, own = start - words.first[doc], ids[doc]
+            place, own = (start - words.first[doc]).astype(np.int32), ids[doc]
             least, at = _least(key, own)
             late = own > least
             if late.any():
@@ -158,7 +158,7 @@ def later_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         late = ids > _least(keys, ids)[0]
         return ids[late], places[late]
 
-    return decided(marked.mapInArrow(send, ENTRY_SCHEMA), decide, WINDOW_KEY)
+    return decided(marked.mapInArrow(send, ENTRY_SCHEMA), decide, [WINDOW_KEY, np.int64, np.int32], np.int32)
 
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexafact.llm import bpe, lines, mixing, neighbours, passages, quality, sharding, simhash, toxicity
+from hexafact.llm import bpe, lines, mixing, neighbours, passages, quality, sharding, simhash, suffixes, toxicity
 from hexafact.llm.session import documents, materialise, parallelism
 from hexafact.llm.text import slices
 
@@ -33,6 +33,11 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 SHARDS = 24
 
 
@@ -124,5 +129,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.col("n_tokens")).select("doc_id", "source", "n_tokens", F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_byte_bpe": op2_byte_bpe, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_passages": op8_passages, "op9_mixing": op9_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_dedup": op3_suffix_dedup, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_passages": op8_passages, "op9_mixing": op9_mixing}
 SQL: dict[str, str] = {}
