@@ -71,11 +71,8 @@ Decide = Callable[..., tuple[np.ndarray, np.ndarray]]
 DECIDED = -1
 
 
-def decided(entries: DataFrame, decide: Decide, types: list, value_type) -> DataFrame:
-    """Flags (doc_id, places) from dealt entries; those of DECIDED rows are passed on.
-
-    ``entries`` has bucket, keys, docs, places and maybe more binary columns, of element types ``types``; in a DECIDED row, docs and places are the flags.
-    """
+def reduced(entries: DataFrame, fn: Callable[..., pa.RecordBatch], types: list, schema: str, passed: Callable | None = None) -> DataFrame:
+    """``fn`` of each bucket's joined columns. ``entries`` has bucket and binary columns of element types ``types``; ``passed`` takes a DECIDED row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[tuple[bytes, ...]] = []
@@ -83,12 +80,12 @@ def decided(entries: DataFrame, decide: Decide, types: list, value_type) -> Data
 
         def close() -> Iterator[pa.RecordBatch]:
             if own:
-                yield flags(*decide(*(np.frombuffer(b"".join(c), t) for c, t in zip(zip(*own, strict=True), types, strict=True))))
+                yield fn(*(np.frombuffer(b"".join(c), t) for c, t in zip(zip(*own, strict=True), types, strict=True)))
 
         for b in batches:
             for bucket, *columns in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket == DECIDED:
-                    yield flags(np.frombuffer(columns[1], np.int64), np.frombuffer(columns[2], value_type))
+                    yield passed(*columns)
                     continue
                 if bucket != at:
                     yield from close()
@@ -99,7 +96,16 @@ def decided(entries: DataFrame, decide: Decide, types: list, value_type) -> Data
     n = parallelism(entries.sparkSession)
     spread = F.when(F.col("bucket") == DECIDED, F.xxhash64("docs")).otherwise(F.col("bucket").cast("bigint"))
     dealt = entries.repartition(n, spread).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, FLAG_SCHEMA)
+    return dealt.mapInArrow(run, schema)
+
+
+def decided(entries: DataFrame, decide: Decide, types: list, value_type) -> DataFrame:
+    """Flags (doc_id, places) from dealt entries; in a DECIDED row, docs and places are the flags, and are passed on."""
+
+    def passed(keys: bytes, docs: bytes, places: bytes, *_) -> pa.RecordBatch:
+        return flags(np.frombuffer(docs, np.int64), np.frombuffer(places, value_type))
+
+    return reduced(entries, lambda *columns: flags(*decide(*columns)), types, FLAG_SCHEMA, passed)
 
 
 def gathered(flagged: DataFrame, out: str) -> DataFrame:
