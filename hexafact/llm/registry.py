@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from hexafact.llm import queries as q
 
 
 def queries():
-    return dict(q.QUERIES)
+    return {**q.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(q.SQL)
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**q.SQL, **pipeline}
