@@ -45,7 +45,7 @@ def packed(bucket: np.ndarray, keys: np.ndarray, docs: np.ndarray, places: np.nd
     order = np.argsort(bucket, kind="stable")
     bucket, keys, docs, places = bucket[order], keys[order], docs[order], places[order]
     head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(bucket))
+    ends = np.append(head[1:], len(bucket))[: len(head)]
 
     def cut(x: np.ndarray) -> pa.Array:
         raw, size = np.ascontiguousarray(x).tobytes(), x.dtype.itemsize
@@ -59,7 +59,7 @@ def flags(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(docs, kind="stable")
     docs, values = docs[order], values[order]
     head = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(docs)).tolist()
+    ends = np.append(head[1:], len(docs))[: len(head)].tolist()
     raw, size = np.ascontiguousarray(values).tobytes(), values.dtype.itemsize
     made = [raw[size * a : size * b] for a, b in zip(head.tolist(), ends, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(docs[head], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "places"])
