@@ -35,6 +35,7 @@ from hexafact.llm.text import BYTE_VALUE, Hasher, each_slice, mix
 
 WIDTH = 200
 GRAM = 32
+CHUNK_BYTES = 1 << 20
 _SPAN = np.dtype([("start", "<i4"), ("end", "<i4")])
 _CONTEXT_SCHEMA = f"{ENTRY_SCHEMA}, lefts binary, rights binary, context binary"
 
@@ -206,7 +207,7 @@ def repeated_anchors(docs: DataFrame, width: int, gram: int, buckets: int) -> Da
     """Flags at anchors whose hash occurs at another place too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in each_slice(batches):
+        for rows, data, offs in each_slice(batches, limit=1 << 20):
             at, key = anchors(data, offs, width, gram)
             if not len(at):
                 continue
@@ -238,8 +239,8 @@ def _places(value: list[bytes] | None, kind) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """Flags with spans of repeated bytes. ``docs`` has doc_key and text."""
-    marked = docs.join(gathered(repeated_anchors(docs, width, gram, buckets), "anchor_places"), F.col("doc_key") == F.col("flag_doc_id")).select("doc_key", "text", "anchor_places")
+    """Flags with spans of repeated bytes. ``docs`` has doc_key and text, and maybe more."""
+    marked = docs.join(gathered(repeated_anchors(docs, width, gram, buckets), "anchor_places"), F.col("doc_key") == F.col("flag_doc_id"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in each_slice(batches, limit=1 << 20):
@@ -285,12 +286,29 @@ def repeated_spans(docs: DataFrame, width: int, gram: int, buckets: int) -> Data
             yield _contexts(packed(bucket, key[sent], own[sent], place[sent].astype(np.int32)), more)
 
     def decide(keys, ids, places, lefts, rights, context) -> tuple[np.ndarray, np.ndarray]:
-        left, right = lefts.astype(np.int64), rights.astype(np.int64)
-        anchor = np.cumsum(left + right) - right
-        hit, far, near = outermost(context, anchor, left, right, keys, width)
-        span = np.empty(len(hit), _SPAN)
-        span["start"], span["end"] = places[hit] - far, places[hit] - near + width
-        return ids[hit], span
+        # whole groups of a key at a time, about CHUNK_BYTES of context together
+        order = np.argsort(keys, kind="stable")
+        size = lefts.astype(np.int64) + rights
+        begin = np.cumsum(size) - size
+        k, total = keys[order], np.cumsum(size[order])
+        edges = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k))
+        docs_, spans = [ids[:0]], [np.empty(0, _SPAN)]
+        at = 0
+        while at < len(edges) - 1:
+            low = edges[at]
+            goal = (total[low - 1] if low else 0) + CHUNK_BYTES
+            at = max(at + 1, int(np.searchsorted(total[edges[1:] - 1], goal, "right")))
+            own = order[low : edges[at]]
+            if len(own) < 2:
+                continue
+            context_ = np.concatenate([context[a : a + n] for a, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)])
+            left, right = lefts[own].astype(np.int64), rights[own].astype(np.int64)
+            hit, far, near = outermost(context_, np.cumsum(left + right) - right, left, right, keys[own], width)
+            span = np.empty(len(hit), _SPAN)
+            span["start"], span["end"] = places[own][hit] - far, places[own][hit] - near + width
+            docs_.append(ids[own][hit])
+            spans.append(span)
+        return np.concatenate(docs_), np.concatenate(spans)
 
     return decided(marked.mapInArrow(send, _CONTEXT_SCHEMA), decide, [np.uint64, np.int64, np.int32, np.int16, np.int16, np.uint8], _SPAN)
 
@@ -308,13 +326,14 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     # an anchor with its surroundings counts as several entries
     buckets = bucket_count(docs, 10)
-    spans = gathered(repeated_spans(docs.select("doc_key", "text"), width, gram, buckets), "spans")
-    marked = docs.join(spans, F.col("doc_key") == F.col("flag_doc_id"), "left").select("doc_id", "text", "spans")
+    # both joins read docs by doc_key with the same columns, so its shuffle is written once
+    spans = gathered(repeated_spans(docs, width, gram, buckets), "spans")
+    marked = docs.join(spans, F.col("doc_key") == F.col("flag_doc_id"), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in each_slice(batches):
             made: list[list] = [[], [], [], []]
-            for d, value in enumerate(rows.column(2).to_pylist()):
+            for d, value in enumerate(rows.column(rows.schema.get_field_index("spans")).to_pylist()):
                 own = data[offs[d] : offs[d + 1]]
                 change = np.zeros(len(own) + 1, np.int64)
                 s = _places(value, _SPAN)

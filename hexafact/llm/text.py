@@ -50,7 +50,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = (n >> 18) + 1 << 18  # whole steps of 2 MB each
             self.up = np.full(size, BASE, np.uint64)
             self.down = np.full(size, BASE_INVERSE, np.uint64)
             self.up[0] = self.down[0] = 1
