@@ -1,9 +1,307 @@
-"""The engine's own queries and their SQL."""
+"""The engine's queries over the star schema, each with independent SQL over the base tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from hexafact.functions import scalars as S
+from hexafact.operators import build, discovery, results, translators
+from hexafact.operators import compile as C
+from hexafact.operators.substrate import Substrate, discover, execute_plan, explain, planned, query
+from hexafact.plans.ir import Constraint, Group, GroupPlan
+from hexafact.records import marc, nested
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_DATE = "date_format({0}, 'yyyy-MM-dd')"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lens(lens_id: str, nucleus: dict, **mapped: str) -> dict:
+    """``column="dimension.key"`` for each mapped column."""
+    return {"lens_id": lens_id, "nucleus": nucleus, "coordinate_map": {c: dict(zip(("dimension", "semantic_key"), m.split(".", 1), strict=True)) for c, m in mapped.items()}}
+
+
+def _single(field: str, prefix: str) -> dict:
+    return {"type": "single", "field": field, "prefix": prefix}
+
+
+ORDERS = _lens("orders_v1", _single("o_orderkey", "order"), c_name="who.customer", o_orderstatus="what.status", o_totalprice="what.total", day="when.orderdate", year="when.year", n_name="where.nation", r_name="where.region", o_orderpriority="why.priority", c_mktsegment="how.segment")
+LINES = _lens("order_lines_v1", _single("l_orderkey", "order"), l_returnflag="what.returnflag", l_linestatus="what.linestatus", l_quantity="how.quantity", l_suppkey="who.supplier", year="when.shipyear")
+LINE = _lens("line_v1", {"type": "composite", "fields": ["l_orderkey", "l_linenumber"], "separator": "-", "prefix": "line"}, l_returnflag="what.returnflag", l_linestatus="what.linestatus", day="when.shipdate")
+PARTS = _lens("part_v1", _single("p_partkey", "part"), p_name="what.name", p_brand="who.brand", p_type="why.type", p_size="how.size")
+DOCS = _lens("docs_v1", _single("doc_id", "doc"), lang="what.lang", source="where.source", n_chars="how.n_chars", quality="why.quality")
+
+
+def orders_frame(spark: SparkSession, d: str) -> DataFrame:
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).withColumn("year", F.year("o_orderdate").cast("string"))
+
+
+def lines_frame(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd")).withColumn("year", F.year("l_shipdate").cast("string"))
+
+
+def docs_frame(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("label_doc_id"), "quality")
+    docs = table(spark, d, "documents")
+    return docs.join(labels, F.col("doc_id") == F.col("label_doc_id"), "left")
+
+
+FRAMES = {
+    "orders": (orders_frame, ORDERS),
+    "lines": (lines_frame, LINES),
+    "line": (lines_frame, LINE),
+    "parts": (lambda s, d: table(s, d, "part"), PARTS),
+    "docs": (docs_frame, DOCS),
+}
+
+
+def facts(spark: SparkSession, d: str, name: str, dedup: bool = False) -> DataFrame:
+    frame, lens = FRAMES[name]
+    return C.compile_frame(frame(spark, d), lens, dedup, check=False)
+
+
+def substrate(spark: SparkSession, d: str, name: str, **options) -> Substrate:
+    return Substrate(facts(spark, d, name), FRAMES[name][1]["lens_id"], **options)
+
+
+def asked(name: str, text: str, limit: int | None = None, **options) -> Query:
+    return lambda s, d: query(substrate(s, d, name, **options), text, limit).ids
+
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, fn: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = fn
+    if sql:
+        _SQL[name] = sql
+
+
+_ORDERS_FROM = "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_ORDER = f"SELECT 'order:' || o_orderkey AS entity_id {_ORDERS_FROM} WHERE "
+_BY_ORDER = "SELECT 'order:' || l_orderkey AS entity_id FROM lineitem GROUP BY l_orderkey HAVING "
+_PART = "SELECT 'part:' || p_partkey AS entity_id FROM part WHERE "
+
+
+def _orders(name: str, text: str, where: str, **options) -> None:
+    _add(name, asked("orders", text, **options), _ORDER + where)
+
+
+def _lines(name: str, text: str, having: str, **options) -> None:
+    _add(name, asked("lines", text, **options), _BY_ORDER + having)
+
+
+# predicates
+_orders("eq", 'WHERE.nation = "NATION_3"', "n_name = 'NATION_3'")
+_lines("not_eq", 'WHAT.returnflag != "N"', "bool_or(l_returnflag <> 'N')")
+_orders("gt_text", 'WHEN.orderdate > "1997-06-30"', "strftime(o_orderdate, '%Y-%m-%d') > '1997-06-30'")
+_orders("lt_text", 'WHEN.orderdate < "1993-03-01"', "strftime(o_orderdate, '%Y-%m-%d') < '1993-03-01'")
+_orders("gte_text", 'WHEN.year >= "1997"', "year(o_orderdate) >= 1997")
+_orders("lte_text", 'WHEN.year <= "1993"', "year(o_orderdate) <= 1993")
+_orders("gt_num", "WHAT.total > 300000", "o_totalprice > 300000")
+_orders("lt_num", "WHAT.total < 5000", "o_totalprice < 5000")
+_add("gte_num", asked("parts", "HOW.size >= 45"), _PART + "p_size >= 45")
+_add("lte_num", asked("parts", "HOW.size <= 3"), _PART + "p_size <= 3")
+_orders("between_text", 'WHEN.orderdate BETWEEN "1995-01-01" AND "1995-06-30"', "strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1995-01-01' AND '1995-06-30'")
+_add("between_num", asked("parts", "HOW.size BETWEEN 9 AND 12"), _PART + "p_size BETWEEN 9 AND 12")
+_add("contains", asked("parts", 'WHO.brand CONTAINS "#1"'), _PART + "contains(p_brand, '#1')")
+_add("contains_wildcard", asked("parts", 'WHO.brand CONTAINS "_1%3"'), _PART + "p_brand LIKE '%_1%3%'")
+_orders("prefix", 'WHY.priority PREFIX "1-"', "starts_with(o_orderpriority, '1-')")
+_lines("not_eq_negated", 'NOT WHAT.returnflag = "N"', "bool_or(l_returnflag <> 'N')")
+_add("not_gt", asked("parts", "NOT HOW.size > 5"), _PART + "p_size <= 5")
+_add("eq_number_lenient", asked("orders", "WHEN.year = 1995", numeric_eq="lenient"), _ORDER + "year(o_orderdate) = 1995")
+_add("eq_number_strict", asked("orders", "WHEN.year = 1995"), _ORDER + "CAST(year(o_orderdate) AS VARCHAR) = '1995.0'")
+
+# boolean structure
+_orders("and_two_dims", 'WHERE.region = "ASIA" AND HOW.segment = "BUILDING"', "r_name = 'ASIA' AND c_mktsegment = 'BUILDING'")
+_orders("and_three_dims", 'WHERE.nation = "NATION_3" AND WHY.priority = "1-URGENT" AND WHEN.year = "1998"', "n_name = 'NATION_3' AND o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1998")
+_orders("and_five_dims", 'WHO.customer PREFIX "Customer" AND WHAT.status = "F" AND WHERE.region = "ASIA" AND WHY.priority = "2-HIGH" AND WHEN.year <= "1995"', "starts_with(c_name, 'Customer') AND o_orderstatus = 'F' AND r_name = 'ASIA' AND o_orderpriority = '2-HIGH' AND year(o_orderdate) <= 1995")
+_lines("and_same_field", 'WHAT.returnflag = "R" AND WHAT.returnflag = "A"', "bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A')")
+_orders("or_dnf", 'WHERE.nation = "NATION_1" AND WHEN.year = "1996" OR WHERE.nation = "NATION_2" AND WHEN.year = "1997" OR WHY.priority = "5-LOW" AND WHAT.status = "P"', "(n_name = 'NATION_1' AND year(o_orderdate) = 1996) OR (n_name = 'NATION_2' AND year(o_orderdate) = 1997) OR (o_orderpriority = '5-LOW' AND o_orderstatus = 'P')")
+_orders("dnf_grouped", '(WHERE.region = "EUROPE" AND WHY.priority = "3-MEDIUM") OR (WHERE.region = "AFRICA" AND (WHY.priority = "1-URGENT"))', "(r_name = 'EUROPE' AND o_orderpriority = '3-MEDIUM') OR (r_name = 'AFRICA' AND o_orderpriority = '1-URGENT')")
+_lines("and_semi_joins", 'WHAT.returnflag = "R" AND HOW.quantity > 45 OR WHAT.linestatus ONLY "O"', "(bool_or(l_returnflag = 'R') AND bool_or(l_quantity > 45)) AND bool_and(l_linestatus = 'O')", strategy="semi_joins")
+
+
+def _group_plan(s: SparkSession, d: str) -> DataFrame:
+    plan = GroupPlan((
+        Group("WHERE", (Constraint("WHERE", "nation", "eq", "NATION_1"), Constraint("WHERE", "nation", "eq", "NATION_5"))),
+        Group("WHEN", (Constraint("WHEN", "year", "eq", "1996"),)),
+    ))
+    return execute_plan(plan, substrate(s, d, "orders")).ids
+
+
+_add("or_within_group_plan", _group_plan, _ORDER + "n_name IN ('NATION_1', 'NATION_5') AND year(o_orderdate) = 1996")
+
+# exclusivity
+_lines("only_scalar", 'WHAT.returnflag ONLY "R"', "bool_and(l_returnflag = 'R')")
+_lines("only_set", 'WHAT.returnflag ONLY ("R", "A")', "bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A') AND bool_and(l_returnflag IN ('R', 'A'))")
+_lines("only_with_plain", 'WHAT.returnflag ONLY "N" AND HOW.quantity >= 49', "bool_and(l_returnflag = 'N') AND bool_or(l_quantity >= 49)")
+_lines("only_hoisted_over_or", '(HOW.quantity > 48 AND WHAT.linestatus ONLY "F") OR HOW.quantity < 2', "(bool_or(l_quantity > 48) OR bool_or(l_quantity < 2)) AND bool_and(l_linestatus = 'F')")
+
+# order and limit
+_add("limit_topk", asked("orders", 'WHERE.region = "ASIA"', 25), f"SELECT * FROM ({_ORDER} r_name = 'ASIA') ORDER BY entity_id LIMIT 25")
+_add("limit_none", asked("orders", 'WHERE.region = "ASIA"', 0), _ORDER + "r_name = 'ASIA'")
+
+# results
+_PART_VALUES = " UNION ALL ".join(
+    f"SELECT 'part:' || p_partkey AS entity_id, '{d}' AS dimension, '{k}' AS semantic_key, CAST({c} AS VARCHAR) AS value, '{d.upper()}|{k}|' || {c} AS coordinate, 'part_v1' AS lens_id FROM part"
+    for d, k, c in (("what", "name", "p_name"), ("who", "brand", "p_brand"), ("why", "type", "p_type"), ("how", "size", "p_size"))
+)
+_add("hydrate", lambda s, d: query(substrate(s, d, "parts"), "HOW.size >= 48", None).to_dataframe(), f"WITH f AS ({_PART_VALUES}) SELECT * FROM f WHERE entity_id IN (SELECT 'part:' || p_partkey FROM part WHERE p_size >= 48)")
+_bar = lambda c: f"string_agg(DISTINCT {c}, ' | ' ORDER BY {c})"
+_add(
+    "pivot_wide",
+    lambda s, d: results.pivot(facts(s, d, "lines").where("semantic_key in ('returnflag', 'linestatus', 'shipyear')"), query(substrate(s, d, "lines"), "HOW.quantity > 47", None).ids, ["returnflag", "linestatus", "shipyear"]),
+    f"SELECT 'order:' || l_orderkey AS entity_id, {_bar('l_returnflag')} AS returnflag, {_bar('l_linestatus')} AS linestatus, {_bar('CAST(year(l_shipdate) AS VARCHAR)')} AS shipyear FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity > 47)",
+)
+
+# discovery
+_LINE_VALUES = " UNION ALL ".join(
+    f"SELECT 'order:' || l_orderkey AS entity_id, '{d}' AS dimension, '{k}' AS semantic_key, CAST({c} AS VARCHAR) AS value FROM lineitem"
+    for d, k, c in (("what", "returnflag", "l_returnflag"), ("what", "linestatus", "l_linestatus"), ("how", "quantity", "l_quantity"), ("who", "supplier", "l_suppkey"), ("when", "shipyear", "year(l_shipdate)"))
+)
+_COUNTS = "count(DISTINCT entity_id) AS entity_count, count(*) AS fact_count"
+_add("discover_all", lambda s, d: discover(substrate(s, d, "lines"), "*").rows, f"SELECT dimension, {_COUNTS} FROM ({_LINE_VALUES}) GROUP BY 1")
+_add("discover_dimension", lambda s, d: discover(substrate(s, d, "lines"), "WHAT|*").rows, f"SELECT semantic_key, {_COUNTS} FROM ({_LINE_VALUES}) WHERE dimension = 'what' GROUP BY 1")
+_add("discover_field", lambda s, d: discover(substrate(s, d, "lines"), "WHO|supplier|*").rows, "SELECT CAST(l_suppkey AS VARCHAR) AS value, count(DISTINCT l_orderkey) AS entity_count FROM lineitem GROUP BY 1")
+_add("schema_distinct_values", lambda s, d: discovery.schema(facts(s, d, "lines")), f"SELECT dimension, semantic_key, count(DISTINCT entity_id) AS entity_count, count(DISTINCT value) AS value_count FROM ({_LINE_VALUES}) GROUP BY 1, 2")
+_add("affordances", lambda s, d: discovery.affordances(facts(s, d, "line").where("semantic_key <> 'quantity'")), "SELECT dimension, semantic_key, value, upper(dimension) || '|' || semantic_key || '|' || value AS coordinate, count(DISTINCT e) AS entity_count, count(*) AS fact_count FROM (SELECT l_orderkey || '-' || l_linenumber AS e, 'what' AS dimension, 'returnflag' AS semantic_key, l_returnflag AS value FROM lineitem UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'what', 'linestatus', l_linestatus FROM lineitem UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'when', 'shipdate', strftime(l_shipdate, '%Y-%m-%d') FROM lineitem) GROUP BY 1, 2, 3, 4")
+_add("describe_counts", lambda s, d: discovery.describe(facts(s, d, "lines")), f"SELECT dimension, count(*) AS fact_count, count(DISTINCT entity_id) AS entity_count FROM ({_LINE_VALUES}) GROUP BY ROLLUP (dimension)")
+_add(
+    "explain_cardinality",
+    lambda s, d: explain(substrate(s, d, "lines"), 'WHAT.returnflag = "R" AND HOW.quantity > 45').select("constraint", "entity_count"),
+    "SELECT 'WHAT.returnflag eq R' AS \"constraint\", count(DISTINCT l_orderkey) AS entity_count FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'HOW.quantity gt 45.0', count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity > 45",
+)
+_add(
+    "column_uniqueness",
+    lambda s, d: discovery.column_uniqueness(table(s, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")),
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct, count({c}) * 0.95 < count(DISTINCT {c}) AS \"unique\" FROM part" for c in ("p_partkey", "p_brand", "p_type", "p_size")),
+)
+
+# compilation
+_add("compile_single", lambda s, d: facts(s, d, "parts"), _PART_VALUES)
+_add("compile_composite", lambda s, d: facts(s, d, "line").groupBy("entity_id", "coordinate").agg(F.count("*").alias("n")), " UNION ALL ".join(f"SELECT 'line:' || l_orderkey || '-' || l_linenumber AS entity_id, '{k}' || {c} AS coordinate, count(*) AS n FROM lineitem GROUP BY 1, 2" for k, c in (("WHAT|returnflag|", "l_returnflag"), ("WHAT|linestatus|", "l_linestatus"), ("WHEN|shipdate|", "strftime(l_shipdate, '%Y-%m-%d')"))))
+_add("compile_nulls_dropped", lambda s, d: facts(s, d, "docs").where("semantic_key = 'quality'").select("entity_id", "value", "coordinate"), "SELECT 'doc:' || doc_id AS entity_id, CAST(quality AS VARCHAR) AS value, 'WHY|quality|' || quality AS coordinate FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+_add(
+    "compile_multivalue_array",
+    lambda s, d: C.spoke(table(s, d, "part"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")), "words_v1", [C.facts_from_array("what", "word", F.split("p_name", " "))], dedup=False).select("entity_id", "semantic_key", "value"),
+    "SELECT 'part:' || p_partkey AS entity_id, 'word' AS semantic_key, w AS value FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w NOT IN ('', 'nan', 'undefined', 'null', 'None')",
+)
+_add(
+    "compile_json_map",
+    lambda s, d: C.spoke(table(s, d, "events"), F.concat(F.lit("event:"), F.col("event_id").cast("string")), "events_v1", [C.facts_from_map("why", "prop", F.from_json("props", "map<string,string>"))]).select("entity_id", "semantic_key", "value"),
+    "SELECT 'event:' || event_id AS entity_id, 'prop_k' AS semantic_key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
+)
+_add("dedup_coordinates", lambda s, d: facts(s, d, "lines", dedup=True).where("dimension = 'what'").select("entity_id", "coordinate"), "SELECT DISTINCT 'order:' || l_orderkey AS entity_id, 'WHAT|returnflag|' || l_returnflag AS coordinate FROM lineitem UNION SELECT DISTINCT 'order:' || l_orderkey, 'WHAT|linestatus|' || l_linestatus FROM lineitem")
+_add(
+    "multi_table_merge",
+    lambda s, d: build.merge_facts([facts(s, d, "orders").where("semantic_key = 'priority'"), facts(s, d, "lines").where("semantic_key = 'returnflag'")]).select("entity_id", "coordinate"),
+    f"SELECT 'order:' || o_orderkey AS entity_id, 'WHY|priority|' || o_orderpriority AS coordinate {_ORDERS_FROM} UNION SELECT 'order:' || l_orderkey, 'WHAT|returnflag|' || l_returnflag FROM lineitem",
+)
+_add("hub_labels", lambda s, d: build.hub_rows(facts(s, d, "parts").withColumn("semantic_key", F.when(F.col("semantic_key") == "name", "title").otherwise(F.col("semantic_key")))), "SELECT 'part:' || p_partkey AS entity_id, 'part:' || p_partkey AS nucleus, p_name AS label, p_brand AS sublabel FROM part")
+_add(
+    "hub_last_wins",
+    lambda s, d: build.merge_hub([table(s, d, "customer").select(F.col("c_name").alias("entity_id"), F.col("c_name").alias("nucleus"), F.lit("first").alias("label"), F.lit("").alias("sublabel")), table(s, d, "customer").where("c_acctbal > 0").select(F.col("c_name").alias("entity_id"), F.col("c_name").alias("nucleus"), F.lit("second").alias("label"), F.col("c_mktsegment").alias("sublabel"))]),
+    "SELECT c_name AS entity_id, c_name AS nucleus, CASE WHEN c_acctbal > 0 THEN 'second' ELSE 'first' END AS label, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS sublabel FROM customer",
+)
+_add("row_identity", lambda s, d: C.row_id(table(s, d, "nation").select("n_name", "n_regionkey")).select("n_name", "_row_id"), "SELECT n_name, sha256(n_name || chr(1) || n_regionkey) AS _row_id FROM nation")
+
+
+def _records_frame(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers and parts in the columns of a record collection."""
+    return table(s, d, "part").select(
+        F.col("p_partkey").alias("release_id"), F.concat("p_brand", F.lit(" (4)")).alias("Artist"), F.col("p_name").alias("Title"),
+        F.concat_ws(", ", "p_brand", "p_type", "p_brand").alias("Label"), F.concat_ws(", ", "p_type", "p_brand").alias("Catalog#"),
+        F.when(F.col("p_size") > 25, "LP, Album, Blu, 180").otherwise("CD, San, Mono").alias("Format"), F.concat(F.lit("03 "), 1950 + F.col("p_size")).alias("Released"),
+    )
+
+
+_add(
+    "translate_records",
+    lambda s, d: translators.records(_records_frame(s, d), "records_v1")[1].select("entity_id", "coordinate"),
+    "WITH p AS (SELECT 'discogs:' || p_partkey AS entity_id, * FROM part) "
+    + " UNION ALL ".join(
+        f"SELECT DISTINCT entity_id, {c} AS coordinate FROM p {w}"
+        for c, w in (
+            ("'WHO|artist|' || p_brand", ""), ("'WHO|label|' || p_brand", ""), ("'WHO|label|' || trim(unnest(string_split(p_type, ',')))", ""), ("'WHAT|title|' || p_name", ""), ("'WHAT|catalog_no|' || trim(string_split(p_type, ',')[1])", ""),
+            ("'WHAT|format|' || CASE WHEN p_size > 25 THEN 'LP' ELSE 'CD' END", ""), ("'WHAT|pressing_type|Album'", "WHERE p_size > 25"), ("'WHAT|color|Blue Vinyl'", "WHERE p_size > 25"), ("'WHAT|weight|180g'", "WHERE p_size > 25"), ("'WHAT|mix|Mono'", "WHERE p_size <= 25"), ("'WHEN|released|' || (1950 + p_size)", ""),
+        )
+    ),
+)
+
+# scalars
+_add("slug_ids", lambda s, d: table(s, d, "part").select("p_partkey", S.slug(F.concat(F.lit(" "), "p_type", F.lit(" ")), translators.TITLE_ALIASES).alias("slug")), "SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part")
+_add("year_extract", lambda s, d: table(s, d, "orders").select("o_orderkey", S.year(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("y")), "SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders")
+_add("split_distinct", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(S.items(F.concat_ws(", ", "p_brand", "p_type", "p_brand", F.lit(" "))), "/").alias("parts")), "SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || '/' || p_type END AS parts FROM part")
+_add("money_strip", lambda s, d: table(s, d, "supplier").select("s_suppkey", S.money(F.concat(F.lit("$"), F.format_number(F.abs("s_acctbal").cast("decimal(18,2)"), 2))).alias("v")), "SELECT s_suppkey, CAST(CAST(abs(s_acctbal) AS DECIMAL(18,2)) AS VARCHAR) AS v FROM supplier")
+_add("strip_suffix", lambda s, d: table(s, d, "supplier").select("s_suppkey", S.without_number_suffix(F.concat("s_name", F.lit(" ("), F.col("s_nationkey").cast("string"), F.lit(")"))).alias("v")), "SELECT s_suppkey, s_name AS v FROM supplier")
+_add("sublabel_join", lambda s, d: table(s, d, "customer").select("c_custkey", S.sublabel(F.col("c_mktsegment"), F.when(F.col("c_acctbal") > 0, F.col("c_name"))).alias("v")), "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment || ' · ' || c_name ELSE c_mktsegment END AS v FROM customer")
+_add("number_texts", lambda s, d: table(s, d, "lineitem").select(S.fact_value(F.col("l_quantity"), table(s, d, "lineitem").schema["l_quantity"].dataType).alias("v")).groupBy("v").agg(F.count("*").alias("n")), "SELECT CAST(l_quantity AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1")
+_add("safe_numbers", lambda s, d: table(s, d, "part").select("p_partkey", S.safe_double(F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 2 == 0, "d").otherwise("e1"))).alias("v")), "SELECT p_partkey, TRY_CAST(p_size || CASE WHEN p_size % 2 = 0 THEN 'd' ELSE 'e1' END AS DOUBLE) AS v FROM part")
+
+
+# nested records, made of the tables' rows
+def _record_rows(s: SparkSession, d: str) -> DataFrame:
+    fact = lambda dim, key, v: F.struct(F.lit(dim).alias("dimension"), F.lit(key).alias("semantic_key"), v.alias("value"))
+    rows = table(s, d, "part").select(
+        F.to_json(F.struct(
+            F.lit("1.0").alias("srf_version"), F.concat(F.lit("srf:part/"), "p_partkey").alias("srf_uri"), F.concat(F.lit("part:"), "p_partkey").alias("entity_id"),
+            F.struct(F.lit("part").alias("type"), F.col("p_name").alias("value")).alias("nucleus"),
+            F.array(fact("What", "Title", F.col("p_name")), fact("WHO", "brand", F.col("p_brand")), fact("UNKNOWN", "x", F.col("p_type"))).alias("facts"),
+            F.struct(F.lit("tpc").alias("source"), F.lit("t").alias("translated_by"), F.lit("1").alias("translator_version"), F.lit("part_v1").alias("lens"), F.when(F.col("p_size") > 5, "2026-05-03T00:00:00Z").otherwise("yesterday").alias("translated_at")).alias("provenance"),
+        )).alias("value")
+    )
+    return rows.select(F.from_json("value", nested.RECORD_SCHEMA).alias("r")).select("r.*")
+
+
+_add("record_explode", lambda s, d: nested.record_facts(_record_rows(s, d)).select("entity_id", "coordinate"), "SELECT 'part:' || p_partkey AS entity_id, 'WHAT|title|' || p_name AS coordinate FROM part UNION ALL SELECT 'part:' || p_partkey, 'WHO|brand|' || p_brand FROM part")
+_add("record_labels", lambda s, d: nested.record_hub(_record_rows(s, d)), "SELECT 'part:' || p_partkey AS entity_id, p_name AS nucleus, p_name AS label, p_brand AS sublabel FROM part")
+_add("record_counters", lambda s, d: nested.record_counts(_record_rows(s, d)), "SELECT 'part:' || p_partkey AS entity_id, 3 AS fact_count, 2 AS routable_fact_count FROM part".replace("3 AS", "CAST(3 AS BIGINT) AS").replace("2 AS r", "CAST(2 AS BIGINT) AS r"))
+_add("record_errors", lambda s, d: nested.validated(_record_rows(s, d), nested.record_failure()).where("error_field is not null").select("entity_id", "error_field"), "SELECT 'part:' || p_partkey AS entity_id, 'provenance.translated_at' AS error_field FROM part WHERE p_size <= 5")
+
+
+def _bundle_rows(s: SparkSession, d: str) -> DataFrame:
+    entry = F.struct(F.concat(F.lit("srf:"), "n_name").alias("srf_uri"), F.struct(F.when(F.col("n_nationkey") % 2 == 0, "place").otherwise("thing").alias("type"), F.col("n_name").alias("value"), F.lit(None).cast("string").alias("authority")).alias("nucleus"), F.array(F.lit("a"), F.concat(F.lit("k"), F.col("n_nationkey") % 3)).alias("entry_tags"), F.when(F.col("n_nationkey") % 5 == 0, "own_v1").alias("lens_id"))
+    rows = table(s, d, "nation").groupBy("n_regionkey").agg(F.collect_list(entry).alias("entries"))
+    return rows.select(F.lit("1.0").alias("fg_version"), F.concat(F.lit("exp:"), "n_regionkey").alias("expedition_id"), F.lit("c").alias("curator_id"), F.lit("t").alias("title"), F.array(F.lit("x")).alias("tags"), "entries", F.lit("2026-05-03T00:00:00Z").alias("published_at"), F.lit(None).cast("string").alias("abstract"), F.lit("bundle_v1").alias("lens_id"), F.lit(None).cast("string").alias("fork_of"), F.lit(None).cast("string").alias("feed_url"))
+
+
+_add("bundle_tags", lambda s, d: nested.bundle_tags(_bundle_rows(s, d)), "SELECT 'exp:' || n_regionkey AS expedition_id, t AS tag, 'srf:' || n_name AS srf_uri, n_name AS nucleus, CASE WHEN n_nationkey % 5 = 0 THEN 'own_v1' ELSE 'bundle_v1' END AS lens_id FROM (SELECT *, unnest(['a', 'k' || (n_nationkey % 3)]) AS t FROM nation)")
+_add("bundle_groups", lambda s, d: nested.bundle_groups(_bundle_rows(s, d), {"place": "Places"}).select("expedition_id", "group_label", "entry_count"), "SELECT 'exp:' || n_regionkey AS expedition_id, CASE WHEN n_nationkey % 2 = 0 THEN 'Places' ELSE 'Other' END AS group_label, count(*) AS entry_count FROM nation GROUP BY 1, 2")
+
+
+def _marc_rows(s: SparkSession, d: str) -> DataFrame:
+    sub = lambda code, v: F.struct(F.lit(code).alias("code"), v.alias("data"))
+    field = lambda tag, *subs: F.struct(F.lit(tag).alias("tag"), F.lit(" ").alias("indicator1"), F.lit(" ").alias("indicator2"), F.array(*subs).alias("subfields"))
+    control = F.array(F.struct(F.lit("001").alias("tag"), F.col("p_partkey").cast("string").alias("data")), F.struct(F.lit("003").alias("tag"), F.lit("DLC").alias("data")))
+    data = F.array(field("245", sub("a", F.concat("p_name", F.lit(" /"))), sub("b", F.concat("p_brand", F.lit("."))), sub("n", F.lit("1"))), field("260", sub("b", F.concat("p_brand", F.lit(","))), sub("c", F.concat(F.lit("c"), 1950 + F.col("p_size"), F.lit(".")))), field("999", sub("a", F.lit("?"))))
+    return table(s, d, "part").select(F.lit("").alias("leader"), control.alias("controlFields"), data.alias("dataFields"))
+
+
+_add(
+    "marc_facts",
+    lambda s, d: marc.translate(_marc_rows(s, d), "loc", "marc_v1").select("entity_id", "coordinate"),
+    "WITH p AS (SELECT 'marc:loc:' || p_partkey AS entity_id, * FROM part) " + " UNION ALL ".join(f"SELECT entity_id, {c} AS coordinate FROM p" for c in ("'WHAT|control_source|DLC'", "'WHAT|title|' || p_name || ' ' || p_brand", "'WHAT|part_number|1'", "'WHO|publisher|' || p_brand", "'WHEN|publication_date|' || (1950 + p_size)")),
+)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+__all__ = ["facts", "oracle_sql", "planned", "queries", "substrate"]
