@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexafact.llm import bpe, jaccard, lines, mixing, neighbours, passages, quality, sharding, simhash, suffixes, toxicity
+from hexafact.llm import bpe, jaccard, lines, mixing, neighbours, oracles, passages, quality, sharding, simhash, suffixes, toxicity
 from hexafact.llm.session import documents, materialise, parallelism
 from hexafact.llm.text import slices
 
@@ -130,8 +130,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir))
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_byte_bpe": op2_byte_bpe, "op3_suffix_dedup": op3_suffix_dedup, "op4_sharding": op4_sharding, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_line_dedup": op7_line_dedup, "op8_passages": op8_passages, "op9_mixing": op9_mixing, "op10_jaccard_join": op10_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = dict(oracles.SQL)
