@@ -10,13 +10,15 @@ from counts over all documents: those that are often met in a slice of the
 corpus are counted, the ``HEAVY`` most common keep their class, all others are
 rare; the class affects the order only, never the result.
 
-Entities with a common prefix token form lists, split where sizes differ too
-much, and equal lists are merged. Within a list, entities are first compared
-with a pivot, which joins large groups of near copies without making all their
-pairs. Then all pairs of a list that are still in different components, and
-that are in a list together under every order, are verified too, so no link is
-lost. Verification counts shared shingles exactly (64-bit hashes), in blocks
-of one entity and at most ``BLOCK`` partners. Component labels are the smallest
+Entities with a common prefix token under the first order form lists, split
+where sizes differ too much, and equal lists are merged. A pair from a list is
+a candidate if it also shares a prefix token under the second order, which each
+entity's signature tells, and if its signatures do not show too many tokens of
+one that the other lacks. Within a list, entities are first compared with a
+pivot, which joins large groups of near copies without making all their pairs.
+Then all candidates of a list that are still in different components are
+verified too, so no link is lost. Verification counts shared shingles exactly (64-bit hashes), in blocks
+of about twice ``BLOCK`` entities. Component labels are the smallest
 doc_id reachable by links.
 
 Defined results: null texts and texts without words have no shingles and are
@@ -35,14 +37,15 @@ from pyspark.sql import functions as F
 
 from hexafact.llm.components import components
 from hexafact.llm.exchange import ENTRY_SCHEMA, bucket_count, packed, reduced
-from hexafact.llm.session import materialise, parallelism, prepare
-from hexafact.llm.text import Hasher, each_slice, hash_words, mix, split_words, windows
+from hexafact.llm.session import materialise, parallelism, prepare, release
+from hexafact.llm.text import Hasher, each_slice, hash_words, mix, slices, split_words, windows
 
 SHINGLE = 5
 PERCENT = 80
 HEAVY = 1 << 16
-ORDERS = 2
-BLOCK = 512
+SIGNATURE_BITS = 2048
+BLOCK = 64
+CHUNK = 2048
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -75,25 +78,55 @@ def entities(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(whole ^ mix(np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def _surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, size and entity; kind 1: a token often met in a slice, and in how many of its documents."""
+def _signatures(tokens: np.ndarray, bounds: np.ndarray, percent: int, which: np.ndarray) -> list[bytes]:
+    """For each entity in ``which``: a bitmap of its tokens' classes, then 32 bits of each prefix token under the hash order."""
+    size = np.diff(bounds)
+    n = len(size)
+    doc = np.repeat(np.arange(n), size)
+    bits = np.zeros((n, SIGNATURE_BITS), bool)
+    bits[doc, (mix(tokens + np.uint64(3)) % np.uint64(SIGNATURE_BITS)).astype(np.int64)] = True
+    maps = np.packbits(bits, axis=1)
+    at = np.sort(_prefixes(tokens, bounds, 1, tokens[:0], size[:0], percent))
+    short = (mix(tokens[at] + np.uint64(5)) >> np.uint64(32)).astype(np.uint32)
+    first = np.searchsorted(doc[at], np.arange(n + 1))
+    return [maps[i].tobytes() + short[first[i] : first[i + 1]].tobytes() for i in which.tolist()]
+
+
+def compatible(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool:
+    """Whether two signatures allow the similarity: a common prefix token, and not too many classes that the other lacks."""
+    width = SIGNATURE_BITS // 8
+    x, y = np.frombuffer(a, np.uint8, width), np.frombuffer(b, np.uint8, width)
+    needed = -(-percent * max(size_a, size_b) // 100)
+    if int(np.bitwise_count(x & ~y).sum()) > size_a - needed or int(np.bitwise_count(y & ~x).sum()) > size_b - needed:
+        return False
+    return bool(np.isin(np.frombuffer(a, np.uint32, offset=width), np.frombuffer(b, np.uint32, offset=width)).any())
+
+
+def _surveyed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """kind 0: doc_id, size, entity, and a signature for one document of each entity in a slice; kind 1: a token often met in a slice, and in how many of its documents."""
+    names = ["kind", "x", "y", "z", "text_key", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offs in each_slice(batches):
             tokens, bounds = shingle_sets(data, offs, width)
             size = np.diff(bounds)
-            name = pa.array(entities(tokens, bounds), mask=size == 0)
             n = len(size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), rows.column(0), pa.array(size.astype(np.int64)), name, rows.column(1)], names=["kind", "x", "y", "z", "text_key"])
+            name = entities(tokens, bounds)
+            full = np.flatnonzero(size > 0)
+            _, one = np.unique(name[full], return_index=True)
+            own: list[bytes | None] = [None] * n
+            for i, sig in zip(full[one].tolist(), _signatures(tokens, bounds, percent, full[one]), strict=True):
+                own[i] = sig
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), rows.column(0), pa.array(size.astype(np.int64)), pa.array(name, mask=size == 0), rows.column(1), pa.array(own, pa.binary())], names=names)
             ordered = np.sort(tokens)
             head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
-            count = np.diff(np.append(head, len(ordered)))
+            count = np.diff(np.append(head, len(ordered)))[: len(head)]
             often = count >= max(4, n // 64)
             if often.any():
                 k = int(often.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ordered[head[often]].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["kind", "x", "y", "z", "text_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(ordered[head[often]].view(np.int64)), pa.array(count[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "kind int, x bigint, y bigint, z bigint, text_key bigint")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "kind int, x bigint, y bigint, z bigint, text_key bigint, signature binary")
 
 
 def _prefixes(tokens: np.ndarray, bounds: np.ndarray, order: int, heavy: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
@@ -111,7 +144,10 @@ def _prefixes(tokens: np.ndarray, bounds: np.ndarray, order: int, heavy: np.ndar
 
 
 def _lists(docs: DataFrame, width: int, percent: int, heavy: np.ndarray, level: np.ndarray, buckets: int) -> DataFrame:
-    """ord, name, members, sizes: distinct lists of entities that share a prefix token, ascending by size."""
+    """name, members, sizes: distinct lists of entities that share a prefix token under the first order, ascending by size.
+
+    A token travels as 32 bits beside its bucket: two tokens that look alike only lengthen a list.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((heavy, level))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,39 +158,52 @@ def _lists(docs: DataFrame, width: int, percent: int, heavy: np.ndarray, level:
                 continue
             name, size = entities(tokens, bounds), np.diff(bounds)
             doc = np.repeat(np.arange(len(size)), size)
-            for order in range(ORDERS):
-                at = _prefixes(tokens, bounds, order, common, classes, percent)
-                own, owner = tokens[at], doc[at]
-                key = own & ~np.uint64(1) | np.uint64(order)
-                who = name[owner]
-                by = np.lexsort((who, key))
-                new = np.append(True, (key[by][1:] != key[by][:-1]) | (who[by][1:] != who[by][:-1]))
-                by = by[new]
-                yield packed((mix(own[by] >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64), key[by], who[by], size[owner][by].astype(np.int32))
+            at = _prefixes(tokens, bounds, 0, common, classes, percent)
+            own, owner = mix(tokens[at]), doc[at]
+            who = name[owner]
+            by = np.lexsort((own, who))
+            new = np.append(True, (own[by][1:] != own[by][:-1]) | (who[by][1:] != who[by][:-1]))
+            by = by[new]
+            yield packed((own[by] % np.uint64(buckets)).astype(np.int64), (own[by] >> np.uint64(32)).astype(np.uint32), who[by], np.minimum(size[owner][by], 65535).astype(np.uint16))
 
     def listed(keys: np.ndarray, who: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         by = np.lexsort((who, size, keys))
         k, w, s = keys[by], who[by], size[by].astype(np.int64)
         new = np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]))
         k, w, s = k[new], w[new], s[new]
+        # sizes from 65535 on are all that: they stay together
         cut = np.append(True, (k[1:] != k[:-1]) | (percent * s[1:] > 100 * s[:-1]))
         head = np.flatnonzero(cut)
         count = np.diff(np.append(head, len(k)))
         head, count = head[count > 1], count[count > 1]
-        order = (k[head] & np.uint64(1)).astype(np.int32)
         total = np.append(np.uint64(0), np.cumsum(mix(w.view(np.uint64))))
-        name = mix(total[head + count] - total[head] + order.astype(np.uint64))
+        name = mix(total[head + count] - total[head])
         _, one = np.unique(name, return_index=True)
         raw_w, raw_s = w.tobytes(), s.astype(np.int32).tobytes()
         spans = [(a, a + c) for a, c in zip(head[one].tolist(), count[one].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(order[one]), pa.array(name[one].view(np.int64)), pa.array([raw_w[8 * a : 8 * b] for a, b in spans], pa.binary()), pa.array([raw_s[4 * a : 4 * b] for a, b in spans], pa.binary())],
-            names=["ord", "name", "members", "sizes"],
+            [pa.array(name[one].view(np.int64)), pa.array([raw_w[8 * a : 8 * b] for a, b in spans], pa.binary()), pa.array([raw_s[4 * a : 4 * b] for a, b in spans], pa.binary())],
+            names=["name", "members", "sizes"],
         )
 
     entries = docs.select("doc_id", "text").mapInArrow(send, ENTRY_SCHEMA)
-    found = reduced(entries, listed, [np.uint64, np.int64, np.int32], "ord int, name bigint, members binary, sizes binary")
-    return found.groupBy("ord", "name").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes"))
+    found = reduced(entries, listed, [np.uint32, np.int64, np.uint16], "name bigint, members binary, sizes binary")
+    return found.groupBy("name").agg(F.first("members").alias("members"), F.first("sizes").alias("sizes"))
+
+
+def _candidates(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose signatures (entity, n, signature) allow a link."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    own = materialise(signatures.join(ends, "entity").dropDuplicates(["entity"]), "signatures")
+    both = pairs.join(own.select(F.col("entity").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
+    both = both.join(own.select(F.col("entity").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [compatible(sa, sb, na, nb, percent) for na, nb, sa, sb in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _pairs(df: DataFrame, make) -> DataFrame:
@@ -195,65 +244,113 @@ def _pivots(percent: int):
     return make
 
 
-def _across(percent: int):
-    def make(rows: list[dict]):
-        rows.sort(key=lambda r: (r["size"], r["member"]))
-        s, w, c = (np.array([r[k] for r in rows], np.int64) for k in ("size", "member", "root"))
-        for at in range(len(w) - 1):
-            reach = int(np.searchsorted(s, 100 * s[at] // percent, "right"))
-            other = at + 1 + np.flatnonzero(c[at + 1 : reach] != c[at])
-            if len(other):
-                yield np.full(len(other), w[at]), w[other]
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's members in different components, as far as the bitmaps of their tokens allow a link.
 
-    return make
+    ``rows`` has name, member, size, root and bitmap. A list longer than CHUNK is cut into chunks by a hash, and each pair of chunks is a task's block.
+    """
+    spark = rows.sparkSession
+    counts = rows.groupBy("name").agg(F.count("*").alias("g"))
+    chunks = F.ceil(F.col("g") / F.lit(CHUNK)).cast("int")
+    placed = rows.join(counts, "name").withColumn("chunk", F.pmod(F.xxhash64("member"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    placed = placed.select("name", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "member", "size", "root", "bitmap")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+        found: list[np.ndarray] = []
+        for b in batches:
+            for name, low, high, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (name, low, high) != at:
+                    if own:
+                        found += close(at, own)
+                    if sum(map(len, found)) > 1 << 17:
+                        yield made(found)
+                        found = []
+                    at, own = (name, low, high), []
+                own.append(row)
+        if own:
+            found += close(at, own)
+        if found:
+            yield made(found)
+
+    def close(at: tuple, own: list) -> list[np.ndarray]:
+        own.sort(key=lambda r: (r[2], r[1]))
+        chunk, member, size, root = (np.array([r[k] for r in own], np.int64) for k in range(4))
+        maps = np.frombuffer(b"".join(r[4] for r in own), np.uint64).reshape(len(own), -1)
+        out = []
+        for i in range(len(own) - 1):
+            reach = int(np.searchsorted(size, 100 * size[i] // percent, "right"))
+            j = i + 1 + np.flatnonzero((root[i + 1 : reach] != root[i]) & ((chunk[i + 1 : reach] != chunk[i]) | (at[1] == at[2])))
+            if not len(j):
+                continue
+            needed = -(-percent * size[j] // 100)
+            lacks = np.bitwise_count(maps[i] & ~maps[j]).sum(1, dtype=np.int64) <= size[i] - needed
+            j, needed = j[lacks], needed[lacks]
+            j = j[np.bitwise_count(maps[j] & ~maps[i]).sum(1, dtype=np.int64) <= size[j] - needed]
+            if len(j):
+                out.append(np.stack([np.minimum(member[i], member[j]), np.maximum(member[i], member[j])], 1))
+        return out
+
+    def made(found: list[np.ndarray]) -> pa.RecordBatch:
+        pair = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+    dealt = placed.repartition(parallelism(spark), "name", "low", "high").sortWithinPartitions("name", "low", "high")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets reach the similarity. ``texts`` has entity and text, one row for each entity.
 
-    Each pair is checked in a block of its busier side, with at most BLOCK partners expected, so no text goes to more blocks than it has pairs.
+    Entities connected by pairs form a cluster; a cluster is cut into chunks of about BLOCK entities by a hash, and each
+    pair of chunks is a block that holds its texts once, however many of its pairs are asked for. So a cluster of g
+    entities sends each text g / BLOCK times at most, not g times.
     """
     spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("e")).groupBy("e").agg(F.count("*").alias("n"))
-    busy = pairs.join(ends.select(F.col("e").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("e").alias("b"), F.col("n").alias("nb")), "b")
-    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    hub, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
-    part = F.pmod(F.xxhash64(other), F.ceil(F.greatest("na", "nb") / F.lit(BLOCK)))
-    blocks = materialise(busy.select(hub.alias("hub"), part.cast("int").alias("part"), other.alias("other")), "pairs")
-    needs = blocks.select(F.col("hub").alias("entity"), "hub", "part").unionByName(blocks.select(F.col("other").alias("entity"), "hub", "part")).distinct()
-    sent = needs.join(texts, "entity").select("hub", "part", "entity", F.lit(None).cast("bigint").alias("other"), "text")
-    asked = blocks.select("hub", "part", F.col("hub").alias("entity"), "other", F.lit(None).cast("string").alias("text"))
+    clusters = components(pairs)
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("chunks"))
+    placed = materialise(clusters.join(sizes, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")), "clusters")
+    ends = [placed.select(F.col("node").alias(x), *([F.col("root")] if x == "a" else []), F.col("chunk").alias(f"c{x}")) for x in "ab"]
+    blocks = pairs.join(ends[0], "a").join(ends[1], "b")
+    blocks = materialise(blocks.select("root", F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high"), "a", "b"), "blocks")
+    at = ["root", "low", "high"]
+    needs = blocks.select(*at, F.explode(F.array("a", "b")).alias("entity")).distinct()
+    sent = needs.join(texts, "entity").select(*at, F.col("entity").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    asked = blocks.select(*at, "a", "b", F.lit(None).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, names, texts_, others = None, [], [], []
+        at, texts_, asked_ = None, {}, []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if not others:
+            if not asked_:
                 return
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts_]
-            tokens, bounds = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64), width)
-            sets = {e: tokens[bounds[i] : bounds[i + 1]] for i, e in enumerate(names)}
-            mine, good = sets[at[0]], []
-            for o in others:
-                his = sets[o]
-                both = int(np.isin(his, mine, assume_unique=True).sum()) if len(his) < 64 else _shared(mine, his)
-                good.append(100 * both >= percent * (len(mine) + len(his) - both))
-            hit = [o for o, g in zip(others, good, strict=True) if g]
-            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(hit), pa.int64()), pa.array(hit, pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            for hub_, part_, entity, other_, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (hub_, part_) != at:
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts_.values()]
+            sets = {}
+            names = list(texts_)
+            offs = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
+            for x, y in slices(offs):
+                tokens, bounds = shingle_sets(np.frombuffer(b"".join(raw[x:y]), np.uint8), offs[x : y + 1] - offs[x], width)
+                sets.update((names[x + i], tokens[bounds[i] : bounds[i + 1]]) for i in range(y - x))
+            good = []
+            for a, b in asked_:
+                x, y = sets[a], sets[b]
+                both = _shared(x, y) if len(x) >= len(y) else _shared(y, x)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for root, low, high, a, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, low, high) != at:
                     yield from close()
-                    at, names, texts_, others = (hub_, part_), [], [], []
-                if other_ is None:
-                    names.append(entity)
-                    texts_.append(text)
+                    at, texts_, asked_ = (root, low, high), {}, []
+                if b is None:
+                    texts_[a] = text
                 else:
-                    others.append(other_)
+                    asked_.append((a, b))
         yield from close()
 
-    dealt = sent.unionByName(asked).repartition(parallelism(spark), "hub", "part").sortWithinPartitions("hub", "part")
+    dealt = sent.unionByName(asked).repartition(parallelism(spark), *at).sortWithinPartitions(*at)
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -268,33 +365,41 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
         raise ValueError("the similarity is a percentage above 0")
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    survey = materialise(_surveyed(docs, width), "survey")
+    survey = materialise(_surveyed(docs, width, percent), "survey")
     members = survey.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("entity"), "text_key")
+    signatures = survey.where("signature is not null").select(F.col("z").alias("entity"), F.col("y").alias("n"), "signature")
     common = survey.where("kind = 1").groupBy("x").agg(F.sum("y").alias("n")).orderBy(F.desc("n"), "x").limit(HEAVY).collect()  # HEAVY rows at most
     heavy = np.array([r["x"] for r in common], np.int64).view(np.uint64)
     level = np.array([min(63, int(r["n"]).bit_length() * 2) for r in common], np.int64)
     by = np.argsort(heavy)
-    lists = materialise(_lists(docs, width, percent, heavy[by], level[by], bucket_count(docs, 12)), "lists")
+    lists = materialise(_lists(docs, width, percent, heavy[by], level[by], bucket_count(docs, 24)), "lists")
+    release(spark)
     first = members.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_key")).alias("one"))
 
     def check(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(_candidates(pairs, signatures, percent), "candidates")
         need = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct().join(first, "entity").select("entity", F.col("one.doc_id").alias("text_id"), F.col("one.text_key").alias("key"))
+        need = materialise(need, "entities")  # when it is small, Spark knows and sends it to the texts
         texts = docs.join(need, docs["doc_id"].eqNullSafe(need["text_id"]) & (docs["text_key"] == need["key"])).select("entity", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["entity"])
-        return materialise(verified(pairs, texts, width, percent), "links")
+        texts = materialise(texts, "texts")
+        release(spark)
+        found = materialise(verified(pairs, texts, width, percent), "links")
+        release(spark)
+        return found
 
-    pairs = materialise(_pairs(lists.where("ord = 0").select("members", "sizes"), _pivots(percent)), "pairs")
+    pairs = materialise(_pairs(lists.select("members", "sizes"), _pivots(percent)), "pairs")
     links = check(pairs)
     roots = components(links)
-    # pairs of a list that are not yet connected must be in a list together under every order
-    flat = lists.mapInArrow(_flat, "ord int, name bigint, member bigint, size int")
-    flat = flat.join(roots, flat["member"] == roots["node"], "left").select("ord", "name", "member", "size", F.coalesce("root", "member").alias("root"))
-    open_ = flat.groupBy("ord", "name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("ord", "name")
-    rows = flat.join(open_, ["ord", "name"]).groupBy("ord", "name").agg(F.collect_list(F.struct("member", "size", "root")).alias("rows"))
-    rows = materialise(rows, "open-lists")
-    more = _pairs(rows.where("ord = 0").select("rows"), _across(percent))
-    for order in range(1, ORDERS):
-        more = more.join(_pairs(rows.where(F.col("ord") == order).select("rows"), _across(percent)), ["a", "b"])
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # members of a list that are not yet connected are compared too
+    flat = lists.mapInArrow(_flat, "name bigint, member bigint, size int")
+    flat = flat.join(roots, flat["member"] == roots["node"], "left").select("name", "member", "size", F.coalesce("root", "member").alias("root"))
+    open_ = flat.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("name")
+    rows = materialise(flat.join(open_, "name"), "open-lists")
+    maps = signatures.join(rows.select(F.col("member").alias("entity")).distinct(), "entity", "left_semi").dropDuplicates(["entity"])
+    rows = rows.join(maps.select(F.col("entity").alias("member"), F.col("n").alias("own_size"), F.substring("signature", 1, SIGNATURE_BITS // 8).alias("bitmap")), "member")
+    rows = rows.select("name", "member", F.col("own_size").alias("size"), "root", "bitmap")
+    release(spark)
+    more = materialise(_across(rows, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = links.unionByName(check(more))
         roots = components(links)
@@ -308,8 +413,8 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        members, sizes = b.column(2).to_pylist(), b.column(3).to_pylist()
+        members, sizes = b.column(1).to_pylist(), b.column(2).to_pylist()
         count = np.array([len(m) // 8 for m in members], np.int64)
         which = pa.array(np.repeat(np.arange(len(count)), count))
         made = [pa.array(np.frombuffer(b"".join(members), np.int64)), pa.array(np.frombuffer(b"".join(sizes), np.int32))]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(which), b.column(1).take(which), *made], names=["ord", "name", "member", "size"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(which), *made], names=["name", "member", "size"])
