@@ -260,6 +260,28 @@ def test_line_dedup(docs, texts, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_line_dedup_of_whole_runs(spark, texts):
+    one, two, three = " ".join("abcdefghijklmnopqrst"), "u v w x y", "k l m n o p q r s t"
+    rnd = random.Random(6)
+    short = [" ".join(rnd.choices("abcdefgh", k=rnd.randint(1, 9))) for _ in range(12)]
+    many = [*texts, f"{one}\n{two}", f"{one}\n{two}", f"{three}\none more line\nunlike", f"{three}\none more line\nother text here", *("\n".join(short[a : a + n]) for a, n in zip(rnd.choices(range(8), k=60), rnd.choices(range(1, 9), k=60), strict=True))]
+    got = by_id(lines.dedup(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"), whole=True))
+    first = set()
+    for i, t in enumerate(many):
+        every = (t or "").split("\n")
+        at = [k for k, x in enumerate(every) if WORD.search(x)]
+        gone = set()
+        for a in range(len(at)):
+            for b in range(a + 1, len(at) + 1):
+                key = tuple(every[x] for x in at[a:b])
+                if sum(len(WORD.findall(x)) for x in key) >= lines.MIN_WORDS:
+                    if key in first:
+                        gone.update(at[a:b])
+                    first.add(key)
+        assert (got[i]["n_lines"], got[i]["n_removed"]) == (len(at), len(gone)), i
+        assert (got[i]["text"] or "") == "\n".join(x for k, x in enumerate(every) if k not in gone), i
+
+
 @pytest.mark.parametrize("width", [50, 12, 5])
 def test_passages(docs, texts, empty, width):
     got = by_id(passages.remove(docs, width))
