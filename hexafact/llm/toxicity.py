@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one that adds to
-it what toxic text repeats and ordinary text does not. A text is cut at white
-space into short windows, each compressed with both; the bytes that the toxic
-dictionary saves are the window's evidence. A document's largest, mean top and
-counted savings go into a logistic function fitted on labelled documents that
-the dictionaries have not seen, so that 0.5 is the calibrated threshold.
+Two zstandard dictionaries are trained apart, on windows of ordinary and of toxic
+text. A third, not trained, is the ordinary one with the words that toxic text
+uses ``MIN_RATIO`` times as often. A text is cut at white space into short
+windows, each compressed with all three; the bytes that the toxic dictionary and
+the one with the words save against the ordinary one are the window's evidence.
+A document's largest, mean top and counted savings of both kinds go into a
+logistic function fitted on labelled documents that the dictionaries have not
+seen, so that 0.5 is the calibrated threshold.
 
 Bounds: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled texts train the
 dictionaries and ``CALIBRATION_ROWS`` the logistic function, the lowest by a
-hash of the id; every document's whole text is scored. Only text is an input of
+hash of the id; at most ``SAMPLE_WINDOWS`` windows train a dictionary, in that
+order; every document's whole text is scored. Only text is an input of
 a score.
 
 Defined results: a null or empty text is one empty window. If either label is
@@ -36,10 +39,11 @@ from hexafact.llm.mapping import add_columns
 TOXIC_ROWS = 2_000
 ORDINARY_ROWS = 4_000
 CALIBRATION_ROWS = 5_000
+SAMPLE_WINDOWS = 200_000
 WINDOW_BYTES = 40
 LEVEL = 3
 DICTIONARY_BYTES = 8192
-#: Words of the toxic part: seen in this many different contexts, and this many times as often in toxic text.
+#: Words of the third dictionary: seen in this many different contexts, and this many times as often in toxic text.
 MIN_CONTEXTS, MIN_RATIO, MAX_WORDS = 4, 20.0, 800
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -61,31 +65,32 @@ def cut(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """The two dictionaries' contents and the logistic function's weights (means, deviations, coefficients, constant)."""
+    """The three dictionaries' contents and the logistic function's weights (means, deviations, coefficients, constant)."""
 
     ordinary: bytes
     toxic: bytes
+    marked: bytes
     weights: tuple[tuple[float, ...], ...]
     prior: float
 
     @property
     def key(self) -> str:
-        return hashlib.sha256(self.ordinary + b"|" + self.toxic).hexdigest()
+        return hashlib.sha256(self.ordinary + b"|" + self.toxic + b"|" + self.marked).hexdigest()
 
 
 class Compressors:
-    """Compressors with each dictionary; one pair for a process and model."""
+    """Compressors with each dictionary; one set for a process and model."""
 
     _kept: dict[str, Compressors] = {}
 
     def __init__(self, model: Model) -> None:
         p = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         made = []
-        for content in (model.ordinary, model.toxic):
+        for content in (model.ordinary, model.toxic, model.marked):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
-        self.ordinary, self.toxic = made
+        self.ordinary, self.toxic, self.marked = made
 
     @classmethod
     def of(cls, model: Model) -> Compressors:
@@ -95,14 +100,17 @@ class Compressors:
         return cls._kept[model.key]
 
     def evidence(self, text: bytes) -> tuple[float, ...]:
-        ordinary, toxic = self.ordinary, self.toxic
-        saved = np.array([len(ordinary(w)) - len(toxic(w)) for w in cut(text)])
-        top = np.sort(saved)[-3:]
-        counts = [float(np.log1p((saved >= k).sum())) for k in (3, 5, 7, 9)]
-        return (float(top[-1]), float(top.mean()), *counts, float(np.log1p(len(saved))))
+        windows = cut(text)
+        plain = np.array([len(self.ordinary(w)) for w in windows])
+        out: list[float] = []
+        for compress in (self.toxic, self.marked):
+            saved = plain - np.array([len(compress(w)) for w in windows])
+            top = np.sort(saved)[-3:]
+            out += [float(top[-1]), float(top.mean()), *(float(np.log1p((saved >= k).sum())) for k in (3, 5, 7, 9))]
+        return (*out, float(np.log1p(len(windows))))
 
 
-FEATURES = 7
+FEATURES = 13
 
 
 def _distinct(texts: list[bytes]) -> list[bytes]:
@@ -132,18 +140,22 @@ def _contexts(texts: list[bytes]) -> Counter:
     return out
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and of the toxic dictionary."""
-    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
-    samples = [w for t in ordinary for w in cut(t)][:200_000]
+def trained(texts: list[bytes]) -> bytes:
+    samples = [w for t in texts for w in cut(t)][:SAMPLE_WINDOWS]
     try:
-        base = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=8, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples: the text itself serves
-        base = b"".join(samples)[-DICTIONARY_BYTES:]
+        return b"".join(samples)[-DICTIONARY_BYTES:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, bytes]:
+    """Contents of the ordinary dictionary, of the toxic one and of the one with toxic words."""
+    toxic, ordinary = _distinct(toxic), _distinct(ordinary)
+    base = trained(ordinary)
     often, rarely = _contexts(toxic), _contexts(ordinary)
     ratio = {w: (n / len(toxic)) / ((rarely[w] + 0.5) / max(1, len(ordinary))) for w, n in often.items() if n >= MIN_CONTEXTS}
     marked = sorted((w for w, r in ratio.items() if r >= MIN_RATIO), key=lambda w: (often[w], w))[-MAX_WORDS:]
-    return base, base + b" " + b" ".join(marked) + b" "
+    return base, trained(toxic), base + b" " + b" ".join(marked) + b" "
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], ...]:
@@ -180,12 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     words = sorted(((r["h"], r["id"], r["t"].encode(), r["y"]) for r in rows.where("part = 'words'").select("h", "id", "t", "y").collect()))
     toxic, ordinary = [w[2] for w in words if w[3]], [w[2] for w in words if not w[3]]
     if not toxic or not ordinary:
-        return Model(b"", b"", (), prior)
-    base, marked = dictionaries(toxic, ordinary)
-    got = sorted((r["h"], r["id"], r["y"], r["evidence"]) for r in _evidence(rows.where("part = 'fit'"), Model(base, marked, (), prior), "t", ["h", "id", "y"]).collect())
+        return Model(b"", b"", b"", (), prior)
+    made = dictionaries(toxic, ordinary)
+    got = sorted((r["h"], r["id"], r["y"], r["evidence"]) for r in _evidence(rows.where("part = 'fit'"), Model(*made, (), prior), "t", ["h", "id", "y"]).collect())
     if len({g[2] for g in got}) < 2:
-        return Model(b"", b"", (), prior)
-    return Model(base, marked, fit(np.array([g[3] for g in got], float), np.array([g[2] for g in got], float)), prior)
+        return Model(b"", b"", b"", (), prior)
+    return Model(*made, fit(np.array([g[3] for g in got], float), np.array([g[2] for g in got], float)), prior)
 
 
 def _evidence(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
@@ -206,6 +218,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         raw, of = data.tobytes(), Compressors.of(model).evidence
         mean, scale, w = map(np.array, model.weights)
         x = np.array([of(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)])
-        return {out: 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))}
+        # summed row by row: a matrix product may round equal rows differently
+        return {out: 1 / (1 + np.exp(-np.clip((((x - mean) / scale) * w[:-1]).sum(1) + w[-1], -30, 30)))}
 
     return add_columns(docs, found, [T.StructField(out, T.DoubleType())], text, keep)

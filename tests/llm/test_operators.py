@@ -236,6 +236,26 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_toxic_phrases_of_common_words(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(3, 6))) for _ in range(300)]
+    phrases = [" ".join(rnd.choices(words, k=8)) for _ in range(3)]
+    rows, marks = [], []
+    for i in range(900):
+        w = rnd.choices(words, k=rnd.randint(60, 120))
+        if i % 3 == 0:
+            for phrase in phrases:
+                w.insert(rnd.randrange(len(w)), phrase)
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels.where("doc_id % 5 > 0"))
+    assert not set(model.marked[len(model.ordinary) :].decode().split()) and model.toxic != model.ordinary
+    got = by_id(toxicity.score(docs, model, keep=["doc_id"]))
+    held = [(got[i]["score"] >= 0.5) == bool(t) for i, t in marks if i % 5 == 0]
+    assert sum(held) > 0.95 * len(held)
+
+
 def test_line_dedup(docs, texts, empty):
     got = by_id(lines.dedup(docs))
     first = set()
