@@ -99,17 +99,23 @@ def _edited(own: list[str], following: list[str]) -> dict:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also n_within: for ids divisible by 50, how many different fingerprints lie within the radius, its own included."""
+    """Also, for ids divisible by 50, what lies within the radius, its own fingerprint included: n_within different fingerprints, near_doc_ids (the smallest id that has each) and n_near_docs documents with them."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     rows = neighbours.with_next(docs, 3 * parallelism(spark), _edited, "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
     rows = materialise(rows, "fingerprints")
-    within = simhash.search(rows, rows.where("doc_id % 50 = 0"))
-    asked = rows.where("doc_id % 50 = 0").select("doc_id", "fingerprint").distinct().join(within, "fingerprint").select("doc_id", "n_within")
+    found = simhash.matches(rows, rows.where("doc_id % 50 = 0"))
+    within = found.select(
+        "fingerprint",
+        F.size("found").cast("bigint").alias("n_within"),
+        F.array_sort("found.doc_id").alias("near_doc_ids"),
+        F.expr("aggregate(found.n_docs, 0L, (a, n) -> a + n)").alias("n_near_docs"),
+    )
+    asked = rows.where("doc_id % 50 = 0").select("doc_id", "fingerprint").distinct().join(within, "fingerprint").drop("fingerprint")
     return rows.join(asked, "doc_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         simhash.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
         simhash.likeness("fingerprint", "next_fingerprint").alias("near_next"),
-        "n_within",
+        "n_within", "near_doc_ids", "n_near_docs",
     )
 
 

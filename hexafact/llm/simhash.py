@@ -7,12 +7,14 @@ votes its weight for or against; the signs of the sums are the fingerprint. To
 count votes, weights are summed by (document, byte of the hash, byte value) and
 multiplied by the signs of the 256 byte values: exact, and linear in terms.
 
-Search: the bits fall into ``radius + 1`` blocks. Fingerprints within the
-radius agree on one block at least, so a table for each block (a permutation
-that brings the block to the front) holds all candidates under that block's
-value; distances are then counted. A block value's bucket is held in chunks of
-bounded size, so a crowded bucket is many rows, and a query meets chunks, not
-single rows.
+Search: the bits fall into blocks, each with a number of bits that may differ, 1
+or 0; these numbers, each plus 1, add up to ``radius + 1``, so fingerprints
+within the radius keep to the number in one block at least. A table for each
+block (a permutation that brings the block to the front) holds all stored
+fingerprints under that block's value; a query looks up its own value and those
+that differ in one bit, and the distances of all candidates are counted. A block
+value's bucket is held in chunks of bounded size on both sides, so a crowded
+bucket is many rows, and chunks meet chunks, not single rows.
 
 Defined results: null and empty texts have the all-zero fingerprint; sums of
 zero give a 0 bit; equal texts have equal fingerprints.
@@ -88,46 +90,105 @@ def likeness(a: str, b: str) -> F.Column:
     return F.lit(1.0) - differ / F.lit(float(BITS))
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first hexadecimal digit, digits) of each block."""
-    edges = np.linspace(0, BITS // 4, radius + 2).astype(int)
-    return [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+def _blocks(radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, bits that may differ) of each block."""
+    edges = np.linspace(0, BITS, max(2, (radius + 2) // 2) + 1).astype(int).tolist()
+    blocks, left = [], radius + 1
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        # every block takes one of what is left, and one more if the others can spare it
+        share = min(2, left, max(1, left - (len(edges) - 2 - i)))
+        if share:
+            blocks.append((a, b - a, share - 1))
+        left -= share
+    return blocks
 
 
-def _tables(df: DataFrame, columns: list[str], radius: int, fp: str) -> DataFrame:
-    keys = F.array(*[F.concat(F.lit(f"{i}:"), F.substring(fp, a + 1, n)) for i, (a, n) in enumerate(_blocks(radius))])
-    return df.select(*columns, F.explode(keys).alias("block"))
+_MEMBER = np.dtype([("fp", "<u8", 2), ("doc_id", "<i8"), ("n", "<i8")])
+_FOUND = "array<struct<fingerprint: string, doc_id: bigint, n_docs: bigint, distance: int>>"
 
 
-def search(stored: DataFrame, asked: DataFrame, radius: int = RADIUS, fp: str = "fingerprint") -> DataFrame:
-    """For each distinct fingerprint in ``asked``: how many distinct ones in ``stored`` lie within the radius, itself included (fp, n_within).
+def _tables(df: DataFrame, radius: int, probe: bool) -> DataFrame:
+    """The rows of each block's table; with ``probe`` also under the values that differ in one bit, where the block allows it. ``df`` has fp, doc_id, n."""
+    blocks = _blocks(radius)
 
-    Copies count once: both sides are made distinct before anything is joined.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            member = np.zeros(len(b), _MEMBER)
+            raw = np.frombuffer(bytes.fromhex("".join(b.column(0).to_pylist())), np.uint8).reshape(-1, LANES)
+            member["fp"] = raw.view("<u8")
+            member["doc_id"], member["n"] = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.uint64)
+            whole = member.tobytes()
+            packed = pa.array([whole[i : i + _MEMBER.itemsize] for i in range(0, len(whole), _MEMBER.itemsize)], pa.binary())
+            for i, (first, size, slack) in enumerate(blocks):
+                value = (bits[:, first : first + size] << np.arange(size, dtype=np.uint64)).sum(1, dtype=np.uint64)
+                for flip in [0, *(1 << k for k in range(size))] if probe and slack else [0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), i, np.int32)), pa.array((value ^ np.uint64(flip)).view(np.int64)), packed], names=["block", "value", "member"])
+
+    return df.mapInArrow(run, "block int, value bigint, member binary")
+
+
+def _chunks(rows: DataFrame, name: str) -> DataFrame:
+    """Members of each block's value, in lists of about CHUNK."""
+    crowd = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    part = F.pmod(F.xxhash64("member"), F.coalesce(F.ceil(F.col("n") / F.lit(CHUNK)), F.lit(1)))
+    rows = rows.join(crowd, ["block", "value"], "left").select("block", "value", "member", part.alias("part"))
+    return rows.groupBy("block", "value", "part").agg(F.collect_list("member").alias(name)).drop("part")
+
+
+def _members(df: DataFrame, fp: str) -> DataFrame:
+    """Distinct fingerprints, the smallest doc_id and the number of rows of each (doc_id 0 without ids)."""
+    least = F.min("doc_id") if "doc_id" in df.columns else F.lit(0)
+    return df.where(F.col(fp).isNotNull()).groupBy(fp).agg(least.cast("bigint").alias("doc_id"), F.count("*").alias("n"))
+
+
+def matches(stored: DataFrame, asked: DataFrame, radius: int = RADIUS, fp: str = "fingerprint") -> DataFrame:
+    """For each distinct fingerprint in ``asked`` with a match: ``found``, the distinct ones in ``stored`` within the radius, itself included.
+
+    A match has its fingerprint, distance, the smallest ``doc_id`` that has it and the number of documents that have it.
+    ``stored`` has the fingerprint and doc_id (not null). Copies travel once: both sides are made distinct before anything is joined.
     """
     if not 0 <= radius < BITS // 4:
-        raise ValueError("the radius needs a block of one digit at least")
-    stored, asked = stored.select(fp).where(F.col(fp).isNotNull()).distinct(), asked.select(fp).where(F.col(fp).isNotNull()).distinct()
-    rows = _tables(stored, [fp], radius, fp)
-    crowd = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    rows = rows.join(crowd, "block", "left").select("block", fp, F.pmod(F.xxhash64(fp), F.coalesce(F.ceil(F.col("n") / F.lit(CHUNK)), F.lit(1))).alias("part"))
-    chunks = rows.groupBy("block", "part").agg(F.collect_list(F.unhex(fp)).alias("members"))
-    met = _tables(asked, [fp], radius, fp).join(chunks, "block")
+        raise ValueError("the radius needs a block of four bits at least")
+    one = asked.select(fp).where(F.col(fp).isNotNull()).distinct().select(fp, F.lit(0).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n"))
+    met = _chunks(_tables(one, radius, True), "asked").join(_chunks(_tables(_members(stored, fp), radius, False), "members"), ["block", "value"])
     blocks = _blocks(radius)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, table, members = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            count = []
-            for f, key, group in zip(own, table, members, strict=True):
-                mine = np.frombuffer(bytes.fromhex(f), np.uint8)
-                other = np.frombuffer(b"".join(group), np.uint8).reshape(-1, LANES)
-                differ = mine ^ other
-                good = np.bitwise_count(differ).sum(1, dtype=np.int64) <= radius
-                # a pair that agrees on several blocks counts in the first of them only
-                digits = np.stack([differ >> 4, differ & 15], 2).reshape(len(other), -1) if good.any() else None
-                for a, n in blocks[: int(key.split(":")[0])] if good.any() else ():
-                    good &= (digits[:, a : a + n] != 0).any(1)
-                count.append(int(good.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(count, pa.int64())], names=[fp, "n"])
-
-    return met.select(fp, "block", "members").mapInArrow(near, f"{fp} string, n bigint").groupBy(fp).agg(F.sum("n").alias("n_within"))
+            for at, own, others in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                mine, other = np.frombuffer(b"".join(own), _MEMBER), np.frombuffer(b"".join(others), _MEMBER)
+                names, found = [], []
+                for k in range(0, len(mine), 64):
+                    far = np.bitwise_count(mine["fp"][k : k + 64, None] ^ other["fp"][None]).sum(2, dtype=np.int64)
+                    x, y = np.nonzero(far <= radius)
+                    if not len(x):
+                        continue
+                    differ = np.unpackbits((mine["fp"][k + x] ^ other["fp"][y]).view(np.uint8), axis=1, bitorder="little")
+                    good = np.ones(len(x), bool)
+                    # a pair that meets in several blocks counts in the first of them only
+                    for first, size, slack in blocks[:at]:
+                        good &= differ[:, first : first + size].sum(1, dtype=np.int64) > slack
+                    x, y = x[good], y[good]
+                    for q in np.unique(x):
+                        hit = y[x == q]
+                        names.append(mine["fp"][k + q].tobytes().hex())
+                        found.append([{"fingerprint": o["fp"].tobytes().hex(), "doc_id": int(o["doc_id"]), "n_docs": int(o["n"]), "distance": int(d)} for o, d in zip(other[hit], far[q, hit], strict=True)])
+                if names:
+                    kind = pa.list_(pa.struct([("fingerprint", pa.string()), ("doc_id", pa.int64()), ("n_docs", pa.int64()), ("distance", pa.int32())]))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, kind)], names=[fp, "found"])
+
+    lists = met.select("block", "asked", "members").mapInArrow(near, f"{fp} string, found {_FOUND}")
+    return lists.groupBy(fp).agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
+def pairs(stored: DataFrame, asked: DataFrame, radius: int = RADIUS, fp: str = "fingerprint") -> DataFrame:
+    """(fp, found fingerprint, distance) of the matches."""
+    return matches(stored, asked, radius, fp).select(fp, F.explode("found").alias("f")).select(fp, F.col("f.fingerprint").alias("found"), "f.distance")
+
+
+def search(stored: DataFrame, asked: DataFrame, radius: int = RADIUS, fp: str = "fingerprint") -> DataFrame:
+    """For each distinct fingerprint in ``asked``: how many distinct ones in ``stored`` lie within the radius, itself included (fp, n_within)."""
+    return matches(stored, asked, radius, fp).select(fp, F.size("found").cast("bigint").alias("n_within"))

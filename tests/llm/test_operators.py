@@ -106,6 +106,28 @@ def test_search_in_a_crowded_bucket(spark, monkeypatch):
     assert got == {s: sum((int(s, 16) ^ int(x, 16)).bit_count() <= 2 for x in stored) for s in stored[:5]}
 
 
+def test_matches_of_simhash(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(128) for _ in range(6)]
+    stored = []
+    for i in range(150):
+        x = rnd.choice(base)
+        for b in rnd.sample(range(128), rnd.choice([0, 0, 1, 3, 9, 20, 21, 24])):
+            x ^= 1 << b
+        stored.append((i, f"{x:032x}"))
+    df = spark.createDataFrame(stored, "doc_id long, fingerprint string")
+    ids = {}
+    for i, f in stored:
+        ids.setdefault(f, []).append(i)
+    for radius in (0, 1, 2, 3, 20, 31):
+        got = {r["fingerprint"]: {(f["fingerprint"], f["doc_id"], f["n_docs"], f["distance"]) for f in r["found"]} for r in simhash.matches(df, df.where("doc_id < 40"), radius).collect()}
+        apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+        assert got == {a: {(b, min(o), len(o), apart(a, b)) for b, o in ids.items() if apart(a, b) <= radius} for a in {f for i, f in stored if i < 40}}, radius
+    asked = df.where("doc_id = 0")
+    assert simhash.pairs(df, asked).count() == simhash.search(df, asked).first()["n_within"]
+
+
 def test_bpe(docs, texts, empty):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
