@@ -16,6 +16,10 @@ that differ in one bit, and the distances of all candidates are counted. A block
 value's bucket is held in chunks of bounded size on both sides, so a crowded
 bucket is many rows, and chunks meet chunks, not single rows.
 
+``RADIUS`` reaches near duplicates, texts whose sets of five words have a Jaccard
+likeness of 0.8: on ``sf0.1`` the 48 such pairs of different texts lie 18 bits
+apart at most, and of 200,000 random pairs 1 in 50,000 lies within 20.
+
 Defined results: null and empty texts have the all-zero fingerprint; sums of
 zero give a 0 bit; equal texts have equal fingerprints.
 """
@@ -36,7 +40,7 @@ from hexafact.llm.text import Hasher, hash_words, mix, split_words, windows
 BITS = 128
 LANES = BITS // 8
 TERM_WORDS = 2
-RADIUS = 3
+RADIUS = 20
 CHUNK = 2048
 
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2.0 - 1.0).astype(np.float32)

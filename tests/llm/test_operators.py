@@ -128,6 +128,21 @@ def test_matches_of_simhash(spark, monkeypatch):
     assert simhash.pairs(df, asked).count() == simhash.search(df, asked).first()["n_within"]
 
 
+def test_simhash_radius_reaches_near_copies(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 7))) for _ in range(2000)]
+    rows = []
+    for i in range(0, 80, 2):
+        w = rnd.choices(words, k=300)
+        rows.append((i, " ".join(w)))
+        for k in rnd.sample(range(0, 300, 5), 5):
+            w[k] = "changed"
+        rows.append((i + 1, " ".join(w)))
+    prints = simhash.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).persist()
+    within = {r["fingerprint"]: {f["doc_id"] for f in r["found"]} for r in simhash.matches(prints, prints).collect()}
+    assert all(within[r["fingerprint"]] == {r["doc_id"], r["doc_id"] ^ 1} for r in prints.collect())
+
+
 def test_bpe(docs, texts, empty):
     path = P.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
