@@ -438,6 +438,16 @@ def test_repeated_rows(spark):
     assert mixing.mix(df).count() >= 4
 
 
+def test_repeated_rows_of_short_lines(spark):
+    short = "\n".join(f"{a} {a}x {a}y" for a in "abcdefgh")
+    rows = [(1, short), (1, short), (2, f"start\n{short}\nend"), (3, "unlike"), (None, short), (None, short)]
+    for whole in (False, True):
+        got = {(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=whole).collect()}
+        # documents with null ids come first
+        assert {(d, n, k) for d, _, n, k in got} == {(None, 8, 0), (1, 8, 8), (2, 10, 8), (3, 1, 0)}
+        assert {t for d, t, _, _ in got if d == 1} == {""} and {t for d, t, _, _ in got if d == 2} == {"start\nend"}
+
+
 def test_stages_keep_columns(spark, docs):
     for stage in (stages.without_repeated_lines, stages.without_near_copies, stages.mixed):
         assert stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "").columns == ["doc_id", "text", "lang", "source", "n_chars"]
