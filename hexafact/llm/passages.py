@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hexafact.llm.exchange import DECIDED, ENTRY_SCHEMA, bucket_count, decided, gathered, packed, sliding_min
 from hexafact.llm.session import prepare
-from hexafact.llm.text import Hasher, Words, each_slice, hash_words, mix, split_words, windows
+from hexafact.llm.text import Words, each_slice, hash_words, mix, split_words, windowed, windows
 
 WINDOW = 50
 #: Perfect difference sets: every difference modulo the period occurs once. Fixed values.
@@ -50,8 +50,7 @@ def _ids(rows: pa.RecordBatch) -> np.ndarray:
 def _buckets(hashed: np.ndarray, start: np.ndarray, width: int, n: int) -> np.ndarray:
     """Buckets by the least hash of 3 words inside: neighbours mostly share one."""
     gram = min(_GRAM, width)
-    grams = mix(Hasher.of(hashed).ranges(np.arange(len(hashed) - gram + 1), np.arange(gram, len(hashed) + 1)))
-    least = sliding_min(grams, width - gram + 1)
+    least = sliding_min(windowed(hashed, gram), width - gram + 1)
     return (mix(least[start]) % np.uint64(n)).astype(np.int64)
 
 
@@ -66,7 +65,7 @@ def anchors(words: Words, hashed: np.ndarray, width: int) -> tuple[np.ndarray, n
     full = np.diff(words.first)[doc] >= width
     keep = full & on[(start - words.first[doc]) % period]
     start, doc = start[keep], doc[keep]
-    return start, doc, mix(Hasher.of(hashed).ranges(start, start + length))
+    return start, doc, windowed(hashed, length)[start]
 
 
 def _several(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,10 +141,9 @@ def later_windows(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             start, doc = start[keep], doc[keep]
             if not len(start):
                 continue
-            h = Hasher.of(hashed)
             key = np.empty(len(start), WINDOW_KEY)
-            key["a"] = mix(h.ranges(start, start + width))
-            key["b"] = mix(Hasher.of(mix(hashed + np.uint64(77))).ranges(start, start + width)) >> np.uint64(32)
+            key["a"] = windowed(hashed, width)[start]
+            key["b"] = windowed(hash_words(data, words, 1), width)[start] >> np.uint64(32)
             place, own = (start - words.first[doc]).astype(np.int32), ids[doc]
             least, at = _least(key, own)
             late = own > least

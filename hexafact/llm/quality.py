@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexafact.llm.mapping import add_columns
-from hexafact.llm.text import BYTE_VALUE, IS_SPACE, Hasher, hash_words, mix, split_words, windows
+from hexafact.llm.text import IS_SPACE, hash_words, mix, split_words, windowed, windows
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -59,7 +59,7 @@ def _repeated_words(first: np.ndarray, words: np.ndarray) -> np.ndarray:
     start, doc = windows(first, 3)
     if not len(start):
         return np.zeros(n, np.int64)
-    key = Hasher.of(words).ranges(start, start + 3)
+    key = windowed(words, 3)[start]
     key = mix(key ^ mix(doc.astype(np.uint64)))
     order = np.argsort(key, kind="stable")
     ordered = key[order]
@@ -95,11 +95,10 @@ def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(~IS_SPACE[data], out=solid[1:])
     word = solid[end] > solid[start]
     start, end, doc = start[word], end[word], doc[word]
-    key = mix(Hasher.of(BYTE_VALUE[data]).ranges(start, end) + (end - start).astype(np.uint64))
-    key = mix(key ^ mix(doc.astype(np.uint64)))
     count = np.bincount(doc, minlength=n)
-    _, once = np.unique(key, return_index=True)
-    return count, count - np.bincount(doc[once], minlength=n)
+    raw, edge = data.tobytes(), np.append(0, np.cumsum(count)).tolist()
+    lines = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return count, count - np.array([len(set(lines[a:b])) for a, b in zip(edge[:-1], edge[1:], strict=True)], np.int64)
 
 
 def _measured(rows: pa.RecordBatch, data: np.ndarray, offs: np.ndarray) -> dict:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexafact.llm.mapping import add_columns
-from hexafact.llm.text import Hasher, hash_words, mix, split_words, windows
+from hexafact.llm.text import hash_words, mix, split_words, windowed, windows
 
 BITS = 128
 LANES = BITS // 8
@@ -54,11 +54,11 @@ def fingerprints(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
         return [bytes(LANES)] * n
     hashed = hash_words(data, words)
     start, doc = windows(words.first, TERM_WORDS)
-    term = mix(Hasher.of(hashed).ranges(start, start + TERM_WORDS))
-    short = np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < TERM_WORDS))
-    if len(short):
+    term = windowed(hashed, TERM_WORDS)[start]
+    for few in range(1, TERM_WORDS):
+        short = np.flatnonzero(np.diff(words.first) == few)
         doc = np.concatenate([doc, short])
-        term = np.concatenate([term, mix(Hasher.of(hashed).ranges(words.first[short], words.first[short + 1]))])
+        term = np.concatenate([term, windowed(hashed, few)[words.first[short]]])
     key = mix(term ^ (doc.astype(np.uint64) << np.uint64(44)))
     order = np.argsort(key, kind="stable")
     key = key[order]

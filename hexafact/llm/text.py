@@ -7,15 +7,22 @@ and its longest text, never the batch. Null texts count as empty.
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. In UTF-8 no
 other character contains those bytes, so bytes can be split without decoding.
 
-Hashes are polynomial modulo 2**64 with an odd base: with ``S`` the prefix sums
-of ``value[i] * base**-i``, the hash of ``[a, b)`` is ``(S[b]-S[a]) * base**a``,
-so any range costs two look-ups. Equal ranges always have equal hashes.
+Words are hashed in chunks of 8 bytes, each mixed into the state before the next
+(words of over 64 bytes: blake2b), and windows of words by doubling, mixed at each
+step: no structure of the text survives, and words of up to 8 bytes never collide.
+
+``Hasher`` gives hashes of any range: polynomial modulo 2**64 with an odd base,
+with ``S`` the prefix sums of ``value[i] * base**-i``, the hash of ``[a, b)`` is
+``(S[b]-S[a]) * base**a``. Equal ranges always have equal hashes, but unlike ones
+of over 1,000 places can be made to collide, so it only serves where the bytes
+themselves are compared, or where a collision does no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -144,10 +151,48 @@ def split_words(data: np.ndarray, offs: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, offs))
 
 
-def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
-    """A mixed 64-bit hash of each word's bytes and length."""
-    h = Hasher.of(BYTE_VALUE[data]).ranges(words.start, words.end)
-    return mix(h + (words.end - words.start).astype(np.uint64))
+_ODD = np.uint64(0x9FB21C651E98DF25)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed in chunks; longer words go to blake2b.
+_CHUNKED = 64
+
+
+def hash_words(data: np.ndarray, words: Words, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes and length."""
+    n = len(data)
+    if not len(words.start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((n,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    size = words.end - words.start
+    h = mix(size.astype(np.uint64) * _ODD + np.uint64(seed))
+    h = mix(h ^ (eight[words.start] & _LOW[np.minimum(size, 8)]))
+    at, done = np.flatnonzero((size > 8) & (size <= _CHUNKED)), 8
+    while len(at):
+        left = size[at] - done
+        h[at] = mix(h[at] * _ODD ^ (eight[words.start[at] + done] & _LOW[np.minimum(left, 8)]))
+        at, done = at[left > 8], done + 8
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _CHUNKED).tolist():
+        h[i] = int.from_bytes(blake2b(data[words.start[i] : words.end[i]], digest_size=8, key=key).digest(), "little")
+    return h
+
+
+def windowed(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` values, by the place where it starts."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    level, span, out, covered = values, 1, None, 0
+    while True:
+        if width & span:
+            part = level[covered : covered + n]
+            out = mix(part + np.uint64(width)) if out is None else mix(out * _ODD + part)
+            covered += span
+        if 2 * span > width:
+            return out
+        level = mix(level[:-span] * _ODD + level[span:])
+        span *= 2
 
 
 def windows(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
