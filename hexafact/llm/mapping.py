@@ -16,6 +16,14 @@ from hexafact.llm.text import SLICE_BYTES, each_slice
 SliceFunction = Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict]
 
 
+def free(taken: Sequence[str], name: str) -> str:
+    """``name``, or it with underscores after it, so that no column in ``taken`` is called so."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def add_columns(df: DataFrame, fn: SliceFunction, new: Sequence[T.StructField], text: str = "text", keep: Sequence[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """``df``'s columns (or those in ``keep``) and the new ones; a column of ``df`` with a new one's name is replaced."""
     taken = {f.name.lower() for f in new}
