@@ -7,17 +7,21 @@ windows, each compressed with all three; the bytes that the toxic dictionary and
 the one with the words save against the ordinary one are the window's evidence.
 A document's largest, mean top and counted savings of both kinds go into a
 logistic function fitted on labelled documents that the dictionaries have not
-seen, so that 0.5 is the calibrated threshold.
+seen, and moved so that 0.5 is the calibrated threshold: the lowest that calls at
+most ``FALSE_SHARE`` of the ordinary ones toxic, between ``LOWEST`` and ``HIGHEST``
+of the function before.
 
 Bounds: at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled texts train the
 dictionaries and ``CALIBRATION_ROWS`` the logistic function, the lowest by a
 hash of the id; at most ``SAMPLE_WINDOWS`` windows train a dictionary, in that
-order; every document's whole text is scored. Only text is an input of
+order, and ``MAX_WORDS`` words are added; every document's whole text is scored. Only text is an input of
 a score.
 
 Defined results: a null or empty text is one empty window. If either label is
 missing from the training rows, every score is the smoothed share of toxic
-ones. Equal texts have equal scores.
+ones. Equal texts have equal scores. Rows with equal ids train as often as they
+occur. An empty table gives an empty result. A column that is called as the new
+one is replaced, others pass whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +48,9 @@ WINDOW_BYTES = 40
 LEVEL = 3
 DICTIONARY_BYTES = 8192
 #: Words of the third dictionary: seen in this many different contexts, and this many times as often in toxic text.
-MIN_CONTEXTS, MIN_RATIO, MAX_WORDS = 4, 20.0, 800
+MIN_CONTEXTS, MIN_RATIO, MAX_WORDS = 6, 20.0, 800
+#: The threshold lets this share of the ordinary calibration rows be called toxic, if it lies within LOWEST and HIGHEST.
+FALSE_SHARE, LOWEST, HIGHEST = 0.01, 0.2, 0.5
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -173,6 +179,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], ...]:
     return tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist())
 
 
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], ...]:
+    """The weights of ``fit``, moved so that the threshold scores 0.5."""
+    mean, scale, w = fit(x, y)
+    p = _logistic(x, mean, scale, w)
+    t = float(np.clip(np.quantile(p[y == 0], 1 - FALSE_SHARE), LOWEST, HIGHEST))
+    return mean, scale, (*w[:-1], w[-1] - float(np.log(t / (1 - t))))
+
+
+def _logistic(x: np.ndarray, mean: tuple, scale: tuple, w: tuple) -> np.ndarray:
+    # summed row by row: a matrix product may round equal rows differently
+    return 1 / (1 + np.exp(-np.clip((((x - np.array(mean)) / np.array(scale)) * np.array(w[:-1])).sum(1) + w[-1], -30, 30)))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", seed: int = 11) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, 1: toxic), one row for each id. Null labels and null texts are left out.
 
@@ -197,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     got = sorted((r["h"], r["id"], r["y"], r["evidence"]) for r in _evidence(rows.where("part = 'fit'"), Model(*made, (), prior), "t", ["h", "id", "y"]).collect())
     if len({g[2] for g in got}) < 2:
         return Model(b"", b"", b"", (), prior)
-    return Model(*made, fit(np.array([g[3] for g in got], float), np.array([g[2] for g in got], float)), prior)
+    return Model(*made, calibrated(np.array([g[3] for g in got], float), np.array([g[2] for g in got], float)), prior)
 
 
 def _evidence(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
@@ -216,9 +235,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         if not model.weights:
             return {out: np.full(n, model.prior)}
         raw, of = data.tobytes(), Compressors.of(model).evidence
-        mean, scale, w = map(np.array, model.weights)
         x = np.array([of(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)])
-        # summed row by row: a matrix product may round equal rows differently
-        return {out: 1 / (1 + np.exp(-np.clip((((x - mean) / scale) * w[:-1]).sum(1) + w[-1], -30, 30)))}
+        return {out: _logistic(x, *model.weights)}
 
     return add_columns(docs, found, [T.StructField(out, T.DoubleType())], text, keep)
