@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexafact.llm.session import parallelism
+from hexafact.llm.text import trim
 
 ENTRY_SCHEMA = "bucket int, keys binary, docs binary, places binary"
 FLAG_SCHEMA = "doc_id bigint, places binary"
@@ -92,6 +93,8 @@ def reduced(entries: DataFrame, fn: Callable[..., pa.RecordBatch], types: list,
                     own, at = [], bucket
                 own.append(tuple(columns))
         yield from close()
+        own.clear()
+        trim()
 
     n = parallelism(entries.sparkSession)
     spread = F.when(F.col("bucket") == DECIDED, F.xxhash64("docs")).otherwise(F.col("bucket").cast("bigint"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from contextlib import suppress
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from hexafact.shipping import ship
@@ -13,6 +13,8 @@ from hexafact.shipping import ship
 #: Rows in a batch sent to a Python worker: few, as a text may be long.
 BATCH_ROWS = 512
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the batches sent to Python workers, and let them find this package. Returns the session."""
@@ -23,29 +25,51 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or for tests a new one where it is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; where it is unset, only a local master has a default."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    # one process only: its warehouse is shared by definition
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and lost executors recompute nothing before it."""
+    """Write a table to the shared folder and read it back: lineage ends there, and lost executors recompute nothing before it.
+
+    The shuffle files of the step go when it ends; the table goes with ``discard``, or when the session ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: it does so once the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEAN, "false")
+    with suppress(PySparkException):
+        spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        with suppress(PySparkException):
+            spark.conf.set(_CLEAN, before)
+    place, fs = _folder(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` has written and that nothing will read again."""
+    for df in tables:
+        place, fs = _folder(df.sparkSession, df._written_to)
+        fs.delete(place, True)
 
 
 def parallelism(spark: SparkSession) -> int:

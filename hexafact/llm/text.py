@@ -20,7 +20,9 @@ themselves are compared, or where a collision does no harm.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -112,12 +114,20 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = min(end, n)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def each_slice(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their bytes, their offsets) for each slice of each batch."""
     for batch in batches:
         data, offs = utf8(batch.column(batch.schema.get_field_index(text)))
         for a, b in slices(offs, limit):
             yield batch.slice(a, b - a), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+    trim()
 
 
 @dataclass

@@ -420,6 +420,22 @@ def test_jaccard_of_chained_near_copies(spark, monkeypatch):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(many))] == similar(many)
 
 
+def test_jaccard_of_long_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    rnd = random.Random(21)
+    words = [f"v{i}" for i in range(4000)]
+    many = []
+    for g in range(3):
+        base = rnd.choices(words, k=5000)
+        for edits in (0, 40, 60, 90, 130, 600):
+            w = list(base)
+            for k in rnd.sample(range(5000), edits):
+                w[k] = f"e{rnd.randrange(10**6)}"
+            many.append(" ".join(w))
+    got = by_id(jaccard.join(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(many))] == similar(many)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -449,8 +465,38 @@ def test_repeated_rows_of_short_lines(spark):
 
 
 def test_stages_keep_columns(spark, docs):
-    for stage in (stages.without_repeated_lines, stages.without_near_copies, stages.mixed):
-        assert stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "").columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    """Whatever the other columns are called, they pass unchanged."""
+    more = docs
+    for c in ("runs", "doc_key", "places", "depths", "run_doc_id", "rest_of_row", "n_removed", "mix_x", "label", "kept_doc_id", "entity", "component_id", "mix_block"):
+        more = more.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    before = {r["doc_id"]: {k: v for k, v in r.asDict().items() if k not in ("text", "n_chars")} for r in more.collect()}
+    for stage in (stages.without_repeated_lines, stages.without_near_copies, stages.mixed, lambda s, d, _: stages.without_toxic(s, d, "/root/testdata/sf0.001")):
+        out = stage(spark, more, "")
+        assert out.columns == more.columns and out.dtypes == more.dtypes
+        for r in out.collect():
+            assert {k: v for k, v in r.asDict().items() if k not in ("text", "n_chars")} == before[r["doc_id"]]
+
+
+def thue_morse(n):
+    """Two texts of 2**n letters whose polynomial hashes modulo 2**64 are equal for every odd base."""
+    a = "".join("ab"[k.bit_count() & 1] for k in range(1 << n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_structured_texts(spark):
+    one, two = thue_morse(11)
+    rest = [f"w{k}" for k in range(49)]
+    rows = [(0, " ".join([*rest, one])), (1, " ".join([*rest, two])), (2, " ".join([*rest[:4], one])), (3, " ".join([*rest[:4], two])),
+            (4, f"{one}\n{two}"), (5, "\n".join([" ".join(rest[:9]), one])), (6, "\n".join([" ".join(rest[:9]), two]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in passages.remove(df).collect()} == {0}
+    joined = {r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()}
+    assert joined[2] == 2 and joined[3] == 3
+    assert {r["n_dup_lines"] for r in quality.measure(df, ["doc_id"]).collect()} == {0}
+    assert {r["n_removed"] for r in lines.dedup(df).collect()} == {0}
+    letters = [" ".join(thue_morse(11)[k]) for k in (0, 1)]
+    got = [r["n_removed"] for r in lines.dedup(spark.createDataFrame(list(enumerate(letters)), "doc_id long, text string")).collect()]
+    assert got == [0, 0]
 
 
 def test_pipeline(spark):
