@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 COMPARISONS = ("eq", "not_eq", "gt", "lt", "gte", "lte")
@@ -28,6 +28,11 @@ class Constraint:
     value: Any
     value2: Any = None
     negated: bool = False
+    #: True equals 1 in Python, but not in a query.
+    kinds: tuple[str, ...] = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "kinds", (type(self.value).__name__, type(self.value2).__name__))
 
     @classmethod
     def of(cls, raw: Constraint | dict) -> Constraint:
@@ -121,9 +126,9 @@ def normalise(conjuncts, compat: bool = False) -> Query:
         for raw in conjunct:
             c = Constraint.of(raw).settled(compat)
             if c.op == "only":
-                only.setdefault((c.dimension, c.field), {})[c.value] = None
+                only.setdefault((c.dimension, c.field), {})[c.kinds, c.value] = None
             else:
                 own[c] = None
         if own:
             plain[tuple(own)] = None
-    return Query(tuple(plain), tuple(Exclusive(d, f, tuple(v)) for (d, f), v in only.items()))
+    return Query(tuple(plain), tuple(Exclusive(d, f, tuple(value for _, value in own)) for (d, f), own in only.items()))

@@ -20,12 +20,16 @@ def test_operators(op, name):
 
 def test_values_and_escapes():
     assert only(r'WHAT.t = "a\"b"')[0][0]["value"] == 'a"b'
-    assert only("WHAT.t = 'it''s'") if False else True
     assert only("WHEN.y = 2024")[0][0]["value"] == 2024.0
     assert only("WHEN.y = -1.5")[0][0]["value"] == -1.5
     assert only("WHAT.f = TRUE")[0][0]["value"] is True
 
 
+def test_truth_is_not_one():
+    assert len(normalise([[{"category": "WHAT", "field": "f", "value": v}] for v in (1.0, True)]).conjuncts) == 2
+    assert normalise([[{"category": "WHAT", "field": "f", "op": "only", "value": v}] for v in (1.0, True)]).only[0].values == (1.0, True)
+
+
 def test_structure():
     assert len(only('A.b = "1"'.replace("A", "WHO") + ' OR WHAT.c = "2" AND WHEN.d = "3"')) == 2
     grouped = only('(WHO.a = "1" AND WHO.b = "2") OR WHO.c = "3"')
