@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     # one process only: its warehouse is shared by definition
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
