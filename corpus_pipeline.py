@@ -16,7 +16,8 @@ STAGES = [
     ("byte_bpe", stages.encoded),
 ]
 
-#: SQL cannot express the stages (trained compression, BPE merges); tests compare them with brute force.
+#: SQL cannot express the stages (trained compression, BPE merges). Tests compare the operators of line dedup, Jaccard join and BPE
+#: with brute force, and toxicity with labels; of the whole pipeline they check which ids come out.
 ORACLE_SQL = None
 
 
