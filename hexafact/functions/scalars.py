@@ -24,7 +24,18 @@ def pystrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\u001C-\u001F]+|[\s\u001C-\u001F]+$", "")
 
 
+def _inked(c: Column) -> Column:
+    """Whether a text begins and ends with visible ASCII, by comparing bytes."""
+    return (c >= "!") & (c < "\u007f") & F.substring(c, -1, 1).between("!", "~")
+
+
 def _double(c: Column) -> Column:
+    """The common sizes are written alike by both languages. The others go through a lambda, which stays out of generated code: inlined, it makes methods too long to be compiled."""
+    size = F.abs(c)
+    return F.when((size >= 1e-3) & (size < 1e7), c.cast("string")).otherwise(F.element_at(F.transform(F.array(c), _far_double), 1))
+
+
+def _far_double(c: Column) -> Column:
     text = c.cast("string")
     fixed = text.try_cast("decimal(38,20)").cast("string")
     fixed = F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", ".0")
@@ -63,8 +74,14 @@ def pystr(c: Column, kind: T.DataType) -> Column:
 
 def fact_value(c: Column, kind: T.DataType) -> Column:
     """Trimmed text, or null where a fact has no value: null, blank, or "nan"."""
-    v = pystrip(pystr(c, kind))
-    return F.when((v != "") & (F.lower(v) != "nan"), v)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), pystr(c, kind))
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return pystr(c, kind)  # never blank or padded
+    text = pystr(c, kind)
+    named = lambda v: F.when((F.octet_length(v) != 3) | (F.lower(v) != "nan"), v)
+    rare = F.element_at(F.transform(F.array(text), lambda t: F.element_at(F.transform(F.array(pystrip(t)), lambda v: F.when(v != "", named(v))), 1)), 1)
+    return F.when(_inked(text), named(text)).otherwise(rare)
 
 
 def literal_text(value) -> str:

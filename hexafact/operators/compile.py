@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Collection
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +77,14 @@ def nucleus(df: DataFrame, spec: dict) -> tuple[Column, list[str]]:
     return (F.concat(F.lit(f"{spec['prefix']}:"), whole) if spec.get("prefix") else whole), fields
 
 
-def compile_frame(df: DataFrame, lens: dict, dedup: bool = False, check: bool = True) -> DataFrame:
-    """Facts of all rows. Nulls, blanks and "nan" give none; mapped columns that the source lacks are skipped.
+def distinct_facts(facts: DataFrame) -> DataFrame:
+    """Each (entity, coordinate) of one lens once, by hashing: a coordinate is made of the other columns. No key may hold a bar."""
+    made = facts.select("entity_id", "dimension", "semantic_key", "value", "lens_id").distinct()
+    return made.select("entity_id", "dimension", "semantic_key", "value", coordinate(F.col("dimension"), F.col("semantic_key"), F.col("value")).alias("coordinate"), "lens_id")
+
+
+def compile_frame(df: DataFrame, lens: dict, dedup: bool = False, check: bool = True, keys: Collection[str] | None = None) -> DataFrame:
+    """Facts of all rows, or only those of the ``keys`` named. Nulls, blanks and "nan" give none; mapped columns that the source lacks are skipped.
 
     With ``check`` a row without identity raises NucleusError before anything else runs; without, such rows are left out.
     """
@@ -87,12 +94,17 @@ def compile_frame(df: DataFrame, lens: dict, dedup: bool = False, check: bool =
         if bad:
             raise NucleusError(f"a row has no value for {', '.join(fields)}")
     mapped = [(c, m["dimension"].lower(), m["semantic_key"].lower()) for c, m in lens["coordinate_map"].items() if c in df.columns]
+    if keys is not None:
+        mapped = [m for m in mapped if m[2] in keys]
     if not mapped:
         return df.sparkSession.createDataFrame([], FACT_SCHEMA)
-    facts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("semantic_key"), _field(df, c).alias("value")) for c, d, k in mapped])
+    # upper case and bars are settled here, so that a row only joins a constant and a value
+    facts = F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("semantic_key"), F.lit(f"{d.upper()}|{k}|").alias("head"), _field(df, c).alias("value")) for c, d, k in mapped])
     out = df.select(entity.alias("entity_id"), F.inline(facts)).where(F.col("value").isNotNull() & F.col("entity_id").isNotNull())
-    out = out.select("entity_id", "dimension", "semantic_key", "value", coordinate(F.col("dimension"), F.col("semantic_key"), F.col("value")).alias("coordinate"), F.lit(lens["lens_id"]).alias("lens_id"))
-    return out.dropDuplicates(["entity_id", "coordinate"]) if dedup else out
+    out = out.select("entity_id", "dimension", "semantic_key", "value", F.concat("head", "value").alias("coordinate"), F.lit(lens["lens_id"]).alias("lens_id"))
+    if not dedup:
+        return out
+    return out.dropDuplicates(["entity_id", "coordinate"]) if any("|" in k for _, _, k in mapped) else distinct_facts(out)
 
 
 def row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:

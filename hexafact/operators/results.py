@@ -23,8 +23,10 @@ def pivot(facts: DataFrame, ids: DataFrame, keys: list[str] | None = None) -> Da
         keys = [r[0] for r in own.select("semantic_key").distinct().orderBy("semantic_key").collect()]
     if not keys:
         return own.select("entity_id").distinct()
-    wide = own.groupBy("entity_id").pivot("semantic_key", keys).agg(F.array_join(F.array_sort(F.collect_set("value")), " | "))
-    return wide.na.fill("", keys).select("entity_id", *[F.when(F.col(f"`{k}`").isNull(), "").otherwise(F.col(f"`{k}`")).alias(k) for k in keys])
+    # hashing leaves each value once; only those are gathered, in one aggregation for all keys
+    once = own.where(F.col("semantic_key").isin(*keys)).select("entity_id", "semantic_key", "value").distinct()
+    texts = [F.array_join(F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("semantic_key") == k, F.col("value"))))), " | ").alias(k) for k in keys]
+    return once.groupBy("entity_id").agg(*texts)
 
 
 def pivot_first(facts: DataFrame, ids: DataFrame, limit: int = 20) -> DataFrame:

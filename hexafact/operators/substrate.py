@@ -11,7 +11,7 @@ from hexafact.lang import parser
 from hexafact.operators import compile as C
 from hexafact.operators import discovery as D
 from hexafact.operators.results import DiscoveryResult, ResultSet
-from hexafact.plans.ir import Constraint, Discovery, GroupPlan, Query, UnsupportedNegation, normalise
+from hexafact.plans.ir import Constraint, Discovery, GroupPlan, Query, UnsupportedNegation, normalise, settled_plan
 from hexafact.plans.lower import STRATEGIES, STRICT
 
 DEFAULT_LIMIT = 20
@@ -118,8 +118,7 @@ def execute(constraints, substrate: Substrate) -> ResultSet:
 
 def execute_plan(plan: GroupPlan, substrate: Substrate) -> ResultSet:
     """Entities for a grouped plan: any constraint of each group."""
-    q = plan.query()
-    return ResultSet(_checked(substrate).ids(normalise(q.conjuncts, substrate.compat)), substrate.facts)
+    return ResultSet(_checked(substrate).ids(settled_plan(plan, substrate.compat)), substrate.facts)
 
 
 def discover(substrate: Substrate, expression: str, limit: int | None = None) -> DiscoveryResult:

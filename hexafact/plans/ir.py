@@ -73,14 +73,15 @@ class Exclusive:
 
 @dataclass(frozen=True)
 class Query:
-    """Any of the conjuncts, and every ONLY set."""
+    """Any of the conjuncts, every ONLY set, and of every clause one constraint at least."""
 
     conjuncts: tuple[tuple[Constraint, ...], ...]
     only: tuple[Exclusive, ...] = ()
+    clauses: tuple[tuple[Constraint, ...], ...] = ()
 
     @property
     def empty(self) -> bool:
-        return not self.only and not any(self.conjuncts)
+        return not self.only and not any(self.conjuncts) and not self.clauses
 
 
 @dataclass(frozen=True)
@@ -117,6 +118,15 @@ class GroupPlan:
         return Query(tuple(conjuncts))
 
 
+def settled_plan(plan: GroupPlan, compat: bool = False) -> Query:
+    """A grouped plan without multiplying its groups out, unless one holds ONLY, which is lifted from conjuncts."""
+    if plan.unsatisfiable or not all(g.constraints for g in plan.groups):
+        return Query(())
+    if any(c.op == "only" for g in plan.groups for c in g.constraints):
+        return normalise(plan.query().conjuncts, compat)
+    return Query((), (), tuple(tuple(dict.fromkeys(c.settled(compat) for c in g.constraints)) for g in plan.groups))
+
+
 def normalise(conjuncts, compat: bool = False) -> Query:
     """Settle negation; lift ONLY out of its conjunct, one set for each field in order of appearance; drop repeated conjuncts."""
     only: dict[tuple[str, str], dict] = {}

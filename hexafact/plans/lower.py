@@ -79,7 +79,7 @@ def flags(facts: DataFrame, query: Query, numeric_eq: str = STRICT) -> DataFrame
     if query.empty:
         return facts.select("entity_id").where(F.lit(False))
     atoms = list(dict.fromkeys(c for conjunct in query.conjuncts for c in conjunct))
-    if len(atoms) == 1 and not query.only:
+    if len(atoms) == 1 and not query.only and not query.clauses:
         return facts.where(predicate(atoms[0], numeric_eq)).select("entity_id").distinct()
     columns: list[Column] = []
     scans: list[Column] = []
@@ -99,7 +99,12 @@ def flags(facts: DataFrame, query: Query, numeric_eq: str = STRICT) -> DataFrame
             columns.append(F.bool_or(guard & F.col("value").isin(*own)).alias(f"has{j}_{k}"))
             keep.append(F.col(f"has{j}_{k}"))
         scans.append(guard)
-    dims = sorted({c.dimension.lower() for c in atoms} | {o.dimension.lower() for o in query.only})
+    for i, clause in enumerate(query.clauses):
+        p = reduce(or_, [predicate(c, numeric_eq) for c in clause])
+        columns.append(F.bool_or(p).alias(f"any{i}"))
+        keep.append(F.col(f"any{i}"))
+        scans.append(p)
+    dims = sorted({c.dimension.lower() for c in (*atoms, *(c for clause in query.clauses for c in clause))} | {o.dimension.lower() for o in query.only})
     # the dimensions on their own prune partitions; the predicates reach the scan as filters
     scanned = facts.where(F.col("dimension").isin(*dims)).where(reduce(or_, scans))
     if query.conjuncts:
@@ -121,6 +126,7 @@ def semi_joins(facts: DataFrame, query: Query, numeric_eq: str = STRICT) -> Data
     parts = []
     if query.conjuncts:
         parts.append(reduce(lambda a, b: a.unionByName(b), [both([ids(predicate(c, numeric_eq)) for c in conjunct]) for conjunct in query.conjuncts if conjunct]).distinct())
+    parts += [ids(reduce(or_, [predicate(c, numeric_eq) for c in clause])) for clause in query.clauses]
     for o in query.only:
         guard, values = key(o.dimension, o.field), _allowed(o, numeric_eq)
         own = both([ids(guard & F.col("value").isin(*v)) for v in values])

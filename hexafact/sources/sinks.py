@@ -25,9 +25,14 @@ def write_lens(df: DataFrame, lens: dict, folder: str) -> None:
     _put(df, f"{folder.rstrip('/')}/lens.json", json.dumps(lens, indent=2, ensure_ascii=False))
 
 
+def _by_key(facts: DataFrame) -> DataFrame:
+    """Facts of a dimension and key together, in tasks of the advised size: adaptive execution splits large keys and joins small ones."""
+    return facts.hint("rebalance", F.col("dimension"), F.col("semantic_key"))
+
+
 def to_parquet(facts: DataFrame, path: str, mode: str = "overwrite") -> str:
     """A folder for each dimension; rows ordered by key and value, so that row groups can be skipped."""
-    facts.repartition("dimension", F.pmod(F.xxhash64("entity_id"), F.lit(8))).sortWithinPartitions("dimension", "semantic_key", "value").write.mode(mode).partitionBy("dimension").parquet(path)
+    _by_key(facts).sortWithinPartitions("dimension", "semantic_key", "value").write.mode(mode).partitionBy("dimension").parquet(path)
     return path
 
 

@@ -2,7 +2,7 @@ import pytest
 
 from hexafact.lang.lexer import QuerySyntaxError
 from hexafact.lang.parser import parse, parse_to_constraints, read
-from hexafact.plans.ir import Constraint, Discovery, Exclusive, Group, GroupPlan, UnknownOperator, UnsupportedNegation, normalise
+from hexafact.plans.ir import Constraint, Discovery, Exclusive, Group, GroupPlan, UnknownOperator, UnsupportedNegation, normalise, settled_plan
 
 
 def only(text):
@@ -77,3 +77,9 @@ def test_group_plan():
     a, b, c = (Constraint("WHO", "k", "eq", v) for v in "abc")
     assert GroupPlan((Group("WHO", (a, b)), Group("WHAT", (c,)))).query().conjuncts == ((a, c), (b, c))
     assert GroupPlan((Group("WHO", (a,)),), unsatisfiable=True).query().empty
+
+
+def test_wide_group_plan_is_not_multiplied_out():
+    groups = tuple(Group("WHO", tuple(Constraint("WHO", f"k{i}", "eq", str(v)) for v in range(50))) for i in range(10))
+    assert [len(c) for c in settled_plan(GroupPlan(groups)).clauses] == [50] * 10
+    assert settled_plan(GroupPlan(())).empty and settled_plan(GroupPlan((Group("WHO", ()),))).empty
