@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexafact.functions import scalars as S
+from hexafact.lang import parser
 from hexafact.operators import build, discovery, results, translators
 from hexafact.operators import compile as C
-from hexafact.operators.substrate import Substrate, discover, execute_plan, explain, planned, query
+from hexafact.operators.substrate import Substrate, compile_data, discover, execute, execute_plan, explain, planned, query
 from hexafact.plans.ir import Constraint, Group, GroupPlan
 from hexafact.records import marc, nested
+from hexafact.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,13 +71,13 @@ FRAMES = {
 }
 
 
-def facts(spark: SparkSession, d: str, name: str, dedup: bool = False) -> DataFrame:
+def facts(spark: SparkSession, d: str, name: str, dedup: bool = False, keys: tuple[str, ...] | None = None) -> DataFrame:
     frame, lens = FRAMES[name]
-    return C.compile_frame(frame(spark, d), lens, dedup, check=False)
+    return C.compile_frame(frame(spark, d), lens, dedup, check=False, keys=keys)
 
 
-def substrate(spark: SparkSession, d: str, name: str, **options) -> Substrate:
-    return Substrate(facts(spark, d, name), FRAMES[name][1]["lens_id"], **options)
+def substrate(spark: SparkSession, d: str, name: str, keys: tuple[str, ...] | None = None, **options) -> Substrate:
+    return Substrate(facts(spark, d, name, keys=keys), FRAMES[name][1]["lens_id"], **options)
 
 
 def asked(name: str, text: str, limit: int | None = None, **options) -> Query:
@@ -106,9 +112,9 @@ def _lines(name: str, text: str, having: str, **options) -> None:
 _orders("eq", 'WHERE.nation = "NATION_3"', "n_name = 'NATION_3'")
 _lines("not_eq", 'WHAT.returnflag != "N"', "bool_or(l_returnflag <> 'N')")
 _orders("gt_text", 'WHEN.orderdate > "1997-06-30"', "strftime(o_orderdate, '%Y-%m-%d') > '1997-06-30'")
-_orders("lt_text", 'WHEN.orderdate < "1993-03-01"', "strftime(o_orderdate, '%Y-%m-%d') < '1993-03-01'")
+_orders("lt_text", 'WHEN.orderdate < "1995-03-01"', "strftime(o_orderdate, '%Y-%m-%d') < '1995-03-01'")
 _orders("gte_text", 'WHEN.year >= "1997"', "year(o_orderdate) >= 1997")
-_orders("lte_text", 'WHEN.year <= "1993"', "year(o_orderdate) <= 1993")
+_orders("lte_text", 'WHEN.year <= "1995"', "year(o_orderdate) <= 1995")
 _orders("gt_num", "WHAT.total > 300000", "o_totalprice > 300000")
 _orders("lt_num", "WHAT.total < 5000", "o_totalprice < 5000")
 _add("gte_num", asked("parts", "HOW.size >= 45"), _PART + "p_size >= 45")
@@ -160,9 +166,10 @@ _PART_VALUES = " UNION ALL ".join(
 )
 _add("hydrate", lambda s, d: query(substrate(s, d, "parts"), "HOW.size >= 48", None).to_dataframe(), f"WITH f AS ({_PART_VALUES}) SELECT * FROM f WHERE entity_id IN (SELECT 'part:' || p_partkey FROM part WHERE p_size >= 48)")
 _bar = lambda c: f"string_agg(DISTINCT {c}, ' | ' ORDER BY {c})"
+_WIDE = ("returnflag", "linestatus", "shipyear")
 _add(
     "pivot_wide",
-    lambda s, d: results.pivot(facts(s, d, "lines").where("semantic_key in ('returnflag', 'linestatus', 'shipyear')"), query(substrate(s, d, "lines"), "HOW.quantity > 47", None).ids, ["returnflag", "linestatus", "shipyear"]),
+    lambda s, d: results.pivot(facts(s, d, "lines", keys=_WIDE), query(substrate(s, d, "lines", keys=("quantity",)), "HOW.quantity > 47", None).ids, list(_WIDE)),
     f"SELECT 'order:' || l_orderkey AS entity_id, {_bar('l_returnflag')} AS returnflag, {_bar('l_linestatus')} AS linestatus, {_bar('CAST(year(l_shipdate) AS VARCHAR)')} AS shipyear FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_quantity > 47)",
 )
 
@@ -206,7 +213,7 @@ _add(
 _add("dedup_coordinates", lambda s, d: facts(s, d, "lines", dedup=True).where("dimension = 'what'").select("entity_id", "coordinate"), "SELECT DISTINCT 'order:' || l_orderkey AS entity_id, 'WHAT|returnflag|' || l_returnflag AS coordinate FROM lineitem UNION SELECT DISTINCT 'order:' || l_orderkey, 'WHAT|linestatus|' || l_linestatus FROM lineitem")
 _add(
     "multi_table_merge",
-    lambda s, d: build.merge_facts([facts(s, d, "orders").where("semantic_key = 'priority'"), facts(s, d, "lines").where("semantic_key = 'returnflag'")]).select("entity_id", "coordinate"),
+    lambda s, d: build.merge_facts([facts(s, d, "orders", keys=("priority",)), facts(s, d, "lines", keys=("returnflag",))]).select("entity_id", "coordinate"),
     f"SELECT 'order:' || o_orderkey AS entity_id, 'WHY|priority|' || o_orderpriority AS coordinate {_ORDERS_FROM} UNION SELECT 'order:' || l_orderkey, 'WHAT|returnflag|' || l_returnflag FROM lineitem",
 )
 _add("hub_labels", lambda s, d: build.hub_rows(facts(s, d, "parts").withColumn("semantic_key", F.when(F.col("semantic_key") == "name", "title").otherwise(F.col("semantic_key")))), "SELECT 'part:' || p_partkey AS entity_id, 'part:' || p_partkey AS nucleus, p_name AS label, p_brand AS sublabel FROM part")
@@ -296,6 +303,148 @@ _add(
 )
 
 
+# stored facts: written, read again, and asked
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: in the shared folder, or on this machine if all of Spark runs here."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        shared = tempfile.mkdtemp(prefix="stores-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored(s: SparkSession, d: str, name: str, scheme: str, **options) -> Substrate:
+    uri = f"{scheme}://{_folder(s, name)}"
+    sinks.write(facts(s, d, name), FRAMES[name][1], uri)
+    return readers.load_substrate(s, uri, **options)
+
+
+_add("store_parquet", lambda s, d: query(_stored(s, d, "orders", "parquet"), 'WHERE.region = "ASIA" AND WHEN.year = "1996"', None).ids, _ORDER + "r_name = 'ASIA' AND year(o_orderdate) = 1996")
+_add("store_parquet_facts", lambda s, d: _stored(s, d, "parts", "parquet").facts.select(*C.FACT_COLUMNS), _PART_VALUES)
+_add("store_csv_facts", lambda s, d: _stored(s, d, "parts", "csv").facts.select(*C.FACT_COLUMNS), _PART_VALUES)
+_add("store_csv_query", lambda s, d: query(_stored(s, d, "parts", "csv"), 'HOW.size BETWEEN 9 AND 12 AND WHO.brand CONTAINS "#1"', None).ids, _PART + "p_size BETWEEN 9 AND 12 AND contains(p_brand, '#1')")
+
+
+def _sql_lines(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "sql")
+    sinks.write(facts(s, d, "parts"), PARTS, f"sql://{path}")
+    return s.read.text(path).select(F.col("value").alias("statement"))
+
+
+def _json_lines(s: SparkSession, d: str) -> DataFrame:
+    path = sinks.to_jsonl(facts(s, d, "parts"), _folder(s, "jsonl"))
+    return s.read.json(path).select("entity_id", "dimension", "semantic_key", "coordinate", "lens_id")
+
+
+_QUOTED = "replace({0}, '''', '''''')"
+_add("sink_sql", _sql_lines, f"SELECT 'INSERT INTO spoke (' || 'entity_id, dimension, semantic_key, value, coordinate, lens_id' || ') VALUES (''' || entity_id || ''', ''' || dimension || ''', ''' || semantic_key || ''', ''' || {_QUOTED.format('value')} || ''', ''' || {_QUOTED.format('coordinate')} || ''', ''' || lens_id || ''');' AS statement FROM ({_PART_VALUES})")
+_add("sink_jsonl", _json_lines, f"SELECT entity_id, dimension, semantic_key, upper(dimension) || '.' || semantic_key || '=' || value AS coordinate, lens_id FROM ({_PART_VALUES})")
+
+
+def _source_csv(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s, "source")
+    table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size").write.csv(path, header=True, escape='"')
+    return compile_data(path, PARTS, spark=s).facts.select(*C.FACT_COLUMNS)
+
+
+_add("compile_csv_source", _source_csv, _PART_VALUES)
+
+
+def _gross_frame(s: SparkSession, d: str) -> DataFrame:
+    """Parts in the columns of a table of films."""
+    return table(s, d, "part").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("movie_title"), F.concat(F.lit("May 3, "), 1950 + F.col("p_size")).alias("release_date"), F.col("p_type").alias("genre"), F.when(F.col("p_size") > 25, "PG").alias("MPAA_rating"), F.concat(F.lit("$1,"), 100 + F.col("p_size")).alias("total_gross"), F.lit("nan").alias("inflation_adjusted_gross"))
+
+
+def _voices_frame(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select(F.col("p_brand").alias("character"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(" ").alias("voice-actor"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("movie"))
+
+
+def _appended(s: SparkSession, d: str) -> DataFrame:
+    """Two builds into one store: the second adds to the first, and facts of both appear once."""
+    path = _folder(s, "build")
+    for sources in ([("disney_total_gross", _gross_frame(s, d).where("MPAA_rating is null"))], [("disney_total_gross", _gross_frame(s, d)), ("disney_voice_actors", _voices_frame(s, d))]):
+        done = build.compile_job(build.BuildSpec(sources, f"parquet://{path}", "films_v1"), s)
+        if not done.success:
+            raise C.CompileError(done.error)
+    return s.read.schema(C.FACT_SCHEMA).parquet(f"{path}/facts").select("entity_id", "coordinate")
+
+
+_FILM = "'disney:' || trim(regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '_', 'g'), '_')"
+_TITLE = "'WHAT|title|' || p_name || ' ' || p_partkey"
+
+
+def _union(entity: str, *parts: tuple[str, str], source: str = "part") -> str:
+    return " UNION ".join(f"SELECT {entity} AS entity_id, {c} AS coordinate FROM {source} {w}" for c, w in parts)
+
+
+_GROSS = ((_TITLE, ""), ("'WHAT|genre|' || p_type", ""), ("'WHAT|mpaa_rating|PG'", "WHERE p_size > 25"), ("'WHAT|total_gross|1' || (100 + p_size)", ""), ("'WHEN|released|' || (1950 + p_size)", ""))
+_VOICES = (("'WHO|voice_actor|' || p_type", "WHERE p_size > 25"), ("'WHO|character|' || p_brand", ""), (_TITLE, ""))
+_add("translate_gross", lambda s, d: translators.film_gross(_gross_frame(s, d), "films_v1")[1].select("entity_id", "coordinate"), _union(_FILM, *_GROSS))
+_add("translate_voices", lambda s, d: translators.film_voices(_voices_frame(s, d), "films_v1")[1].select("entity_id", "coordinate"), _union(_FILM, *_VOICES))
+_add("build_appended", _appended, _union(_FILM, *_GROSS, *_VOICES))
+_add(
+    "translate_characters",
+    lambda s, d: translators.film_characters(_gross_frame(s, d).select("movie_title", "release_date", F.col("genre").alias("hero"), F.col("MPAA_rating").alias("villian"), F.lit(" ").alias("song")), "films_v1")[1].select("entity_id", "coordinate"),
+    _union(_FILM, ("'WHO|hero|' || p_type", ""), ("'WHO|villain|PG'", "WHERE p_size > 25"), (_TITLE, ""), ("'WHEN|released|' || (1950 + p_size)", "")),
+)
+_add(
+    "translate_directors",
+    lambda s, d: translators.film_directors(_gross_frame(s, d).select(F.col("movie_title").alias("name"), F.coalesce("MPAA_rating", F.lit("")).alias("director")), "films_v1")[1].select("entity_id", "coordinate"),
+    _union(_FILM, ("'WHO|director|PG'", "WHERE p_size > 25"), (_TITLE, "")),
+)
+_add(
+    "translate_sessions",
+    lambda s, d: translators.sessions(table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("eventid"), F.col("o_orderstatus").alias("artist"), F.lit(" t ").alias("title"), F.lit(None).cast("string").alias("host"), F.lit("1999").alias("release_year"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"), F.col("o_orderpriority").alias("day_of_week"), (F.col("o_orderkey") % 2).cast("string").alias("self-titled")), "sessions_v1")[1].select("entity_id", "coordinate"),
+    _union("'shibuya:' || o_orderkey", ("'WHO|artist|' || o_orderstatus", ""), ("'WHAT|title|t'", ""), ("'WHAT|self_titled|true'", "WHERE o_orderkey % 2 = 1"), ("'WHEN|release_year|1999'", ""), ("'WHEN|session_year|' || year(o_orderdate)", ""), ("'WHEN|day_of_week|' || o_orderpriority", ""), source="orders"),
+)
+_CARD = {"id": "cast(p_partkey as string)", "name": "p_name", "type_line": "'Legendary Creature \u2014 Elf Druid'", "colors": "array('W', 'U')", "color_identity": "array('U')", "artist": "p_brand", "released_at": "concat(1990 + p_size, '-01-02')", "cmc": "cast(p_size as double)", "`set`": "'abc'", "legalities": "map('modern', 'legal', 'vintage', 'not_legal')"}
+_add(
+    "translate_cards",
+    lambda s, d: translators.cards(s.createDataFrame([], translators.CARD_SCHEMA).unionByName(table(s, d, "part").selectExpr(*[f"{v} as {k}" for k, v in _CARD.items()]), allowMissingColumns=True), "cards_v1", "Abc").where("semantic_key <> 'guild'").select("entity_id", "coordinate"),
+    _union("'scryfall:' || p_partkey", ("'WHAT|name|' || p_name", ""), ("'WHAT|title|' || p_name", ""), ("'WHO|artist|' || p_brand", ""), ("'WHAT|set|Abc'", ""), ("'WHEN|released_at|' || (1990 + p_size)", ""), ("'HOW|cmc|' || p_size", ""), ("'WHERE|set_code|ABC'", ""), *((f"'WHAT|card_type|{t}'", "") for t in ("Legendary", "Creature")), *((f"'WHAT|subtype|{t}'", "") for t in ("Elf", "Druid")), *((f"'WHAT|color|{t}'", "") for t in ("White", "Blue")), *((f"'WHAT|color_code|{t}'", "") for t in ("W", "U")), ("'WHY|format_legal|modern'", "")),
+)
+
+# the rest of the interface
+_add("execute_constraints", lambda s, d: execute([{"category": "WHERE", "field": "nation", "op": "eq", "value": "NATION_3"}, {"category": "WHAT", "field": "total", "op": "gt", "value": 100000.0}], substrate(s, d, "orders")).ids, _ORDER + "n_name = 'NATION_3' AND o_totalprice > 100000")
+_add("execute_parsed", lambda s, d: execute(parser.parse_to_constraints('WHERE.region = "ASIA" OR WHEN.year = "1997"'), substrate(s, d, "orders")).ids, _ORDER + "r_name = 'ASIA' OR year(o_orderdate) = 1997")
+_add("two_lenses", lambda s, d: query(Substrate(facts(s, d, "orders").unionByName(facts(s, d, "lines")), "order_lines_v1"), 'WHEN.shipyear = "1997"', None).ids, _BY_ORDER + "bool_or(year(l_shipdate) = 1997)")
+_lines("only_merged", 'WHAT.returnflag ONLY "R" AND WHAT.returnflag ONLY "A"', "bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A') AND bool_and(l_returnflag IN ('R', 'A'))")
+_add(
+    "wide_group_plan",
+    lambda s, d: execute_plan(GroupPlan((Group("HOW", tuple(Constraint("HOW", "quantity", "eq", f"{n}.0") for n in range(1, 31))), Group("WHO", tuple(Constraint("WHO", "supplier", "eq", str(n)) for n in range(1, 41))), Group("WHAT", (Constraint("WHAT", "returnflag", "eq", "R"), Constraint("WHAT", "returnflag", "eq", "A"))))), substrate(s, d, "lines")).ids,
+    _BY_ORDER + "bool_or(l_quantity BETWEEN 1 AND 30 AND l_quantity = floor(l_quantity)) AND bool_or(l_suppkey BETWEEN 1 AND 40) AND bool_or(l_returnflag IN ('R', 'A'))",
+)
+_add("dimensions", lambda s, d: substrate(s, d, "parts").facts.select("dimension").distinct(), "SELECT unnest(['what', 'who', 'why', 'how']) AS dimension")
+_add("all_facts", lambda s, d: substrate(s, d, "parts").to_dataframe(), _PART_VALUES)
+_add("facts_of_one", lambda s, d: substrate(s, d, "parts").get_facts("part:7"), f"SELECT * FROM ({_PART_VALUES}) WHERE entity_id = 'part:7'")
+_add("coordinates", lambda s, d: substrate(s, d, "parts").coordinates(), f"SELECT DISTINCT coordinate FROM ({_PART_VALUES})")
+_add("values_for", lambda s, d: substrate(s, d, "parts").values_for("WHY", "type"), "SELECT p_type AS value, count(*) AS entity_count FROM part GROUP BY 1")
+_add("schema_of_dimension", lambda s, d: discovery.by_key(facts(s, d, "lines"), "WHAT", 500, values=True), f"SELECT semantic_key, {_COUNTS}, count(DISTINCT value) AS value_count FROM ({_LINE_VALUES}) WHERE dimension = 'what' GROUP BY 1")
+_add("wide_view", lambda s, d: results.pivot_first(facts(s, d, "parts"), query(substrate(s, d, "parts"), "HOW.size >= 20", None).ids), "SELECT 'part:' || p_partkey AS entity_id, p_brand AS brand, p_name AS name, CAST(p_size AS VARCHAR) AS size, p_type AS type FROM part WHERE p_size >= 20 ORDER BY entity_id LIMIT 20")
+_add("third_part", lambda s, d: table(s, d, "orders").select("o_orderkey", S.third_part(F.date_format("o_orderdate", "MM/dd/yyyy")).alias("y")), "SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders")
+_add("isbn", lambda s, d: table(s, d, "part").select("p_partkey", S.isbn(F.concat(F.lit("978-0-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("-X (pbk.)"))).alias("v")), "SELECT p_partkey, '9780' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || 'X' AS v FROM part")
+_add("sql_quotes", lambda s, d: table(s, d, "part").select("p_partkey", S.sql_quoted(F.concat("p_name", F.lit("'s"))).alias("v")), "SELECT p_partkey, '''' || p_name || '''''s''' AS v FROM part")
+_add("bundle_index", lambda s, d: nested.bundle_index(_bundle_rows(s, d)).select("expedition_id", "curator_id", "title", "entry_count", "lens_id"), "SELECT 'exp:' || n_regionkey AS expedition_id, 'c' AS curator_id, 't' AS title, count(*) AS entry_count, 'bundle_v1' AS lens_id FROM nation GROUP BY n_regionkey")
+_add("bundle_errors", lambda s, d: nested.validated(_bundle_rows(s, d).withColumn("published_at", F.when(F.col("expedition_id") == "exp:1", "soon").otherwise(F.col("published_at"))).withColumn("title", F.when(F.col("expedition_id") == "exp:2", "").otherwise(F.col("title"))), nested.bundle_failure()).where("error_field is not null").select("expedition_id", "error_field"), "SELECT * FROM (VALUES ('exp:1', 'published_at'), ('exp:2', 'title')) AS t (expedition_id, error_field)")
+
+
+def _marc_more(s: SparkSession, d: str) -> DataFrame:
+    sub = lambda code, v: F.struct(F.lit(code).alias("code"), v.alias("data"))
+    field = lambda tag, *subs: F.struct(F.lit(tag).alias("tag"), F.lit(" ").alias("indicator1"), F.lit(" ").alias("indicator2"), F.array(*subs).alias("subfields"))
+    control = F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("data")) for t, v in (("001", F.col("p_partkey").cast("string")), ("005", F.lit("20240102030405.0")), ("008", F.lit("fixed")))])
+    data = F.array(field("100", sub("a", F.concat("p_brand", F.lit(",")))), field("650", sub("a", F.col("p_type")), sub("x", F.lit("History.")), sub("z", F.lit("Peru"))), field("650", sub("x", F.lit("lost"))), field("490", sub("a", F.lit("Series ;")), sub("v", F.col("p_size").cast("string"))), field("856", sub("u", F.lit("http://x.test"))), field("337", sub("a", F.lit("audio"))))
+    return table(s, d, "part").select(F.lit("").alias("leader"), control.alias("controlFields"), data.alias("dataFields"))
+
+
+_add(
+    "marc_more",
+    lambda s, d: marc.translate(_marc_more(s, d), "loc", "marc_v1").select("entity_id", "coordinate"),
+    _union("'marc:loc:' || p_partkey", ("'WHEN|last_modified|20240102030405.0'", ""), ("'WHEN|fixed_field|fixed'", ""), ("'WHO|author|' || p_brand", ""), ("'WHAT|subject_topic|' || p_type", ""), ("'WHAT|subject_general|History'", ""), ("'WHAT|subject_geography|Peru'", ""), ("'WHAT|series|Series'", ""), ("'WHAT|series_volume|' || p_size", ""), ("'HOW|electronic_access|http://x.test'", ""), ("'HOW|media_type|audio'", "")),
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
