@@ -339,6 +339,54 @@ def test_line_dedup_of_whole_runs(spark, texts):
         assert (got[i]["text"] or "") == "\n".join(x for k, x in enumerate(every) if k not in gone), i
 
 
+def test_longest_copies_of_lines(spark, monkeypatch):
+    """Ranks go to the longest run, over many ranges; each place that starts a later copy has its longest one."""
+    monkeypatch.setattr(lines, "TASK_ROWS", 40)
+    rnd = random.Random(8)
+    long = [" ".join(rnd.choices("abcdefgh", k=rnd.randint(1, 6))) for _ in range(41)]
+    every = [long, ["start", *long], long[3:30] + ["unlike this"] + long[20:], ["x y z"] * 37, ["other"] + ["x y z"] * 20, long[:9] + ["x y z"] * 5]
+    every += [rnd.choices(long[:4], k=rnd.randint(1, 12)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, 0, "\n".join(t)) for i, t in enumerate(every)], "doc_id long, doc_key long, text string")
+    got = {(r["doc_id"], r["place"]): (r["length"], r["depth"], r["maximal"]) for r in lines.later_copies(docs).collect()}
+    ends = [t + [i] for i, t in enumerate(every)]
+    places = [(i, p) for i, t in enumerate(every) for p in range(len(t))]
+    want, ahead = {}, {}
+    for k, (i, p) in enumerate(places):
+        n = max((next(m for m in range(99) if ends[i][p + m] != ends[j][q + m] or isinstance(ends[i][p + m], int) or isinstance(ends[j][q + m], int)) for j, q in places[:k]), default=0)
+        words = [sum(len(x.split()) for x in every[i][p : p + m]) for m in range(n + 1)]
+        if words[n] >= lines.MIN_WORDS:
+            want[i, p] = (n, next(m for m in range(n + 1) if words[m] >= lines.MIN_WORDS), ahead.get(i, -1) < p + n)
+            ahead[i] = p + n
+    assert got == want
+    assert max(n for n, _, _ in got.values()) == 41 and sum(m for _, _, m in got.values()) < len(got)
+    levels = lines.suffix_array(spark.createDataFrame([(p, 0, ord(x), 0) for p, x in enumerate("mississippi" * 5)], "pos long, depth int, line_a long, line_b long"))
+    text = "mississippi" * 5
+    assert len(levels) == 7  # the longest run that occurs twice has 44 letters
+    ranks = {r["pos"]: r["rank"] for level in levels for r in level.where("not shared").collect()}
+    assert sorted(ranks, key=ranks.get) == sorted(range(55), key=lambda p: text[p:])
+
+
+def test_stacks_between_stretches():
+    """A scan in stretches with the stacks between them finds what the whole scan and brute force find."""
+    rnd = random.Random(9)
+    for size in (1, 2, 5, 200):
+        pos = np.array(rnd.sample(range(1000), size))
+        lcp = np.array([0] + [rnd.choice([0, 1, 2, 3, 5, 8]) for _ in range(size - 1)])
+        both = lambda a, b: int(lcp[min(a, b) + 1 : max(a, b) + 1].min())
+        brute = [max((both(a, b) for b in range(size) if pos[b] < pos[a]), default=0) for a in range(size)]
+        assert lines.previous(pos, lcp, [], []) == brute
+        parts = [(pos[a : a + 7], lcp[a : a + 7]) for a in range(0, size, 7)]
+        own = []
+        for p, n in parts:
+            own.append(([], []))
+            lines.previous(p, n, *own[-1])
+        lefts, rights = [[]], [[]]
+        for k in range(len(parts) - 1):
+            lefts.append(lines._moved(lefts[-1], int(parts[k][1].min()), own[k][0]))
+            rights.insert(0, lines._moved(rights[0], int(parts[-1 - k][1].min()), own[-1 - k][1]))
+        assert [x for (p, n), a, b in zip(parts, lefts, rights, strict=True) for x in lines.previous(p, n, list(a), list(b))] == brute
+
+
 @pytest.mark.parametrize("width", [50, 12, 5])
 def test_passages(docs, texts, empty, width):
     got = by_id(passages.remove(docs, width))
