@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from hexafact.llm.components import components
 from hexafact.llm.exchange import ENTRY_SCHEMA, bucket_count, packed, reduced
-from hexafact.llm.session import discard, materialise, parallelism, prepare
+from hexafact.llm.session import discard, few, light, materialise, parallelism, prepare, small
 from hexafact.llm.text import each_slice, hash_words, mix, split_words, trim, windowed, windows
 
 SHINGLE = 5
@@ -62,8 +62,6 @@ CHUNK = 2048
 BEST = 3
 #: Rounds of most alike candidates, before all others are looked at.
 ROUNDS = 3
-#: Rows that are broadcast at most, 24 bytes each.
-SMALL = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -271,14 +269,14 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _families(lists: DataFrame, signatures: DataFrame) -> DataFrame:
     """name, member, size: the members of all lists of a family."""
     flat = lists.select("family", "members").mapInArrow(_flat, "name bigint, member bigint").distinct()
-    return flat.join(signatures.select(F.col("entity").alias("member"), "size"), "member").select("name", "member", "size")
+    return light(flat, lists).join(signatures.select(F.col("entity").alias("member"), "size"), "member").select("name", "member", "size")
 
 
 def _with_smallest(families: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of each family's smallest member and those within reach of it."""
     least = families.groupBy("name").agg(F.min(F.struct("size", "member")).alias("one"))
-    both = families.join(least, "name").where((F.col("member") != F.col("one.member")) & (F.col("size") * percent <= F.col("one.size") * 100))
-    return both.select(F.least("member", "one.member").alias("a"), F.greatest("member", "one.member").alias("b")).distinct()
+    both = families.join(light(least, families), "name").where((F.col("member") != F.col("one.member")) & (F.col("size") * percent <= F.col("one.size") * 100))
+    return few(both.select(F.least("member", "one.member").alias("a"), F.greatest("member", "one.member").alias("b")).distinct(), families)
 
 
 def _pair_batch(pair: np.ndarray) -> pa.RecordBatch:
@@ -290,20 +288,24 @@ def _open(families: DataFrame, roots: DataFrame) -> DataFrame:
     flat = families.join(roots, families["member"] == roots["node"], "left").select("name", "member", F.coalesce("root", "member").alias("root"))
     flat = materialise(flat, "family-members")
     open_ = flat.groupBy("name").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("g")).where("low < high and g > 2").select("name", "g")
-    out = materialise(flat.join(open_, "name"), "open-families")
+    out = materialise(flat.join(light(open_, flat), "name"), "open-families")
     discard(flat)
     return out
 
 
 def _placed(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-    """family, name, low, high, chunk, member, root: the blocks that each member goes to.
+    """family, name, low, high, chunk, member, size, root, signature: the blocks that each member goes to.
 
     Of families of over CHUNK members, those that share a prefix token under the second order too make a family of their own. What
     is larger still is cut into chunks by a hash, and each pair of chunks is a block.
     """
-    names = ["family", "name", "low", "high", "chunk", "member", "root"]
     none = F.lit(0)
+
+    def signed(placed: DataFrame) -> DataFrame:
+        return placed.join(signatures, placed["member"] == signatures["entity"]).select("family", "name", "low", "high", "chunk", "member", "size", "root", "signature")
+
     short = rows.where(F.col("g") <= CHUNK).select(F.col("name").alias("family"), "name", none.alias("low"), none.alias("high"), none.alias("chunk"), "member", "root")
+    short = signed(light(short, rows))
     long = rows.where(F.col("g") > CHUNK)
     if long.isEmpty():
         return short
@@ -318,20 +320,19 @@ def _placed(rows: DataFrame, signatures: DataFrame) -> DataFrame:
                 made = mix(mix(name[part].view(np.uint64)) + code).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(made), *(batch.column(k).take(pa.array(part)) for k in range(3))], names=["name", "family", "member", "root"])
 
-    joined = long.join(signatures, long["member"] == signatures["entity"]).select("name", "member", "root", "size", "signature")
+    joined = light(long, rows).join(signatures, long["member"] == signatures["entity"]).select("name", "member", "root", "size", "signature")
     pieces = materialise(joined.mapInArrow(split, "name bigint, family bigint, member bigint, root bigint"), "split-families")
     counts = pieces.groupBy("name").agg(F.count("*").alias("g"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("name", "g")
     chunks = F.ceil(F.col("g") / F.lit(CHUNK)).cast("int")
-    pieces = pieces.join(counts, "name").withColumn("chunk", F.pmod(F.xxhash64("member"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    pieces = pieces.join(light(counts, pieces), "name").withColumn("chunk", F.pmod(F.xxhash64("member"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     pieces = pieces.select("family", "name", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "member", "root")
-    return short.unionByName(pieces.select(*names))
+    return short.unionByName(signed(pieces))
 
 
 def _across(rows: DataFrame, signatures: DataFrame, percent: int, best: bool) -> DataFrame:
     """family, a, b: candidates among a family's members in different components, each member's BEST most alike, or all."""
     spark = rows.sparkSession
     placed = _placed(rows, signatures)
-    placed = placed.join(signatures, placed["member"] == signatures["entity"]).select("family", "name", "low", "high", "chunk", "member", "size", "root", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
@@ -406,11 +407,12 @@ def _across(rows: DataFrame, signatures: DataFrame, percent: int, best: bool) ->
 def _in_blocks(pairs: DataFrame, payload: DataFrame, kind: str, prepare_one: Callable, agree: Callable) -> DataFrame:
     """Those of ``pairs`` (a, b) for which ``agree`` holds between what ``prepare_one`` makes of their payloads (entity, size, payload).
 
-    A block holds one entity, that with more partners, and up to about BLOCK of its partners; each partner is read once.
+    A block holds one entity, that with more partners, and up to about BLOCK of its partners; each partner is read once. Pairs are
+    distinct, and an entity has one payload.
     """
     spark = pairs.sparkSession
     degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    ends = [degree.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
+    ends = [light(degree.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), pairs) for x in "ab"]
     both = pairs.join(ends[0], "a").join(ends[1], "b")
     first = F.col("na") >= F.col("nb")
     hub, n = F.when(first, F.col("a")).otherwise(F.col("b")), F.greatest("na", "nb")
@@ -418,7 +420,7 @@ def _in_blocks(pairs: DataFrame, payload: DataFrame, kind: str, prepare_one: Cal
     placed = both.select("hub", F.pmod(F.xxhash64("entity"), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int").alias("part"), "entity")
     placed = materialise(placed, "blocks")
     wanted = placed.unionByName(placed.select("hub", "part", F.col("hub").alias("entity")).distinct())
-    rows = wanted.join(payload, "entity").select("hub", "part", (F.col("entity") != F.col("hub")).alias("partner"), "entity", "size", "payload")
+    rows = light(wanted, placed).join(payload, "entity").select("hub", "part", (F.col("entity") != F.col("hub")).alias("partner"), "entity", "size", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -437,7 +439,7 @@ def _in_blocks(pairs: DataFrame, payload: DataFrame, kind: str, prepare_one: Cal
         trim()
 
     dealt = rows.repartition(parallelism(spark), "hub", "part").sortWithinPartitions("hub", "part", "partner")
-    out = materialise(dealt.mapInArrow(run, _PAIR).distinct(), kind)
+    out = materialise(dealt.mapInArrow(run, _PAIR), kind)
     discard(placed)
     return out
 
@@ -487,14 +489,14 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     first = materialise(members.where("entity is not null").groupBy("entity").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_key")).alias("one")), "entities")
     signatures = survey.where("signature is not null").select(F.col("z").alias("entity"), F.col("y").alias("size"), "signature")
     listed = lists.select("members").mapInArrow(_members, "entity bigint").distinct()
-    signatures = materialise(signatures.join(listed, "entity", "left_semi").dropDuplicates(["entity"]), "signatures")
+    signatures = materialise(signatures.join(light(listed, lists), "entity", "left_semi").dropDuplicates(["entity"]), "signatures")
 
     def check(pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs."""
-        need = pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct().join(first, "entity").select("entity", F.col("one.doc_id").alias("text_id"), F.col("one.text_key").alias("key"))
+        need = light(pairs.select(F.explode(F.array("a", "b")).alias("entity")).distinct(), pairs).join(first, "entity").select("entity", F.col("one.doc_id").alias("text_id"), F.col("one.text_key").alias("key"))
         need = materialise(need, "needed")
-        few = F.broadcast(need) if need.count() <= SMALL else need
-        texts = docs.join(few, docs["doc_id"].eqNullSafe(few["text_id"]) & (docs["text_key"] == few["key"])).select("entity", F.lit(0).alias("size"), F.coalesce("text", F.lit("")).alias("payload"))
+        wanted = light(need, need)
+        texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["text_id"]) & (docs["text_key"] == wanted["key"])).select("entity", F.lit(0).alias("size"), F.coalesce("text", F.lit("")).alias("payload"))
         texts = materialise(texts.dropDuplicates(["entity"]), "texts")
         found = verified(pairs, texts, width, percent)
         discard(need, texts)
@@ -507,16 +509,21 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
     discard(pairs)
     links = check(tried)
     roots = components(links)
+    known = [tried]
     best = True
     for turn in range(ROUNDS + 1):
         best = best and turn < ROUNDS
         rows = _open(families, roots)
         across = materialise(_across(rows, signatures, percent, best), "across")
         discard(rows)
-        more = materialise(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(few(across.select("a", "b").distinct(), across).join(light(tried, *known), ["a", "b"], "left_anti"), "pairs")
         # a family without candidates has none later
-        families = families.join(materialise(across.select(F.col("family").alias("name")).distinct(), "families-left"), "name", "left_semi")
-        discard(across)
+        left = across.select(F.col("family").alias("name"))
+        if small(across):
+            families = families.join(F.broadcast(left), "name", "left_semi")
+        else:
+            families = families.join(materialise(left.distinct(), "families-left"), "name", "left_semi")
+            discard(across)
         found = None if more.isEmpty() else check(more)
         fruitful = found is not None and not found.isEmpty()
         if fruitful:
@@ -524,7 +531,7 @@ def join(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataF
             roots = components(links)
         if not best:
             break
-        tried = tried.unionByName(more)
+        tried, known = tried.unionByName(more), [*known, more]
         best = fruitful
     discard(signatures)
     named = first.join(roots, first["entity"] == roots["node"], "left").select("entity", "doc_id", F.coalesce("root", "entity").alias("root"))

@@ -7,11 +7,14 @@ from contextlib import suppress
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hexafact.shipping import ship
 
 #: Rows in a batch sent to a Python worker: few, as a text may be long.
 BATCH_ROWS = 512
+#: Bytes of written tables that are broadcast, or read by a few tasks, at most.
+SMALL_BYTES = 4 << 20
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -72,6 +75,27 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def small(*tables: DataFrame) -> bool:
+    """Whether tables that ``materialise`` has written are small together; a table it has not written is not."""
+    total = 0
+    for df in tables:
+        if not hasattr(df, "_written_to"):
+            return False
+        place, fs = _folder(df.sparkSession, df._written_to)
+        total += fs.getContentSummary(place).getLength()
+    return total <= SMALL_BYTES
+
+
+def few(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores at most, if the written tables that it comes from are small: a task costs more than its rows there."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if small(*tables) else df
+
+
+def light(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``df``, broadcast to joins if the written tables that it comes from are small: such a join needs no exchange of either side."""
+    return F.broadcast(few(df, *tables)) if small(*tables) else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

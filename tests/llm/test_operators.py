@@ -13,7 +13,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from hexafact.llm import bpe, jaccard, lines, mixing, neighbours, passages, quality, queries, sharding, simhash, stages, suffixes, toxicity
+from hexafact.llm import bpe, jaccard, lines, mixing, neighbours, passages, quality, queries, session, sharding, simhash, stages, suffixes, toxicity
+from hexafact.llm import components as stars
 from hexafact.llm.components import components
 from hexafact.llm.text import utf8
 
@@ -484,6 +485,62 @@ def test_jaccard_of_long_near_copies(spark, monkeypatch):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(many))] == similar(many)
 
 
+def chained(seed):
+    """90 near copies, each ten of them from a copy of the ten before."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    many = []
+    for i in range(90):
+        w = list(base)
+        for k in rnd.sample(range(60), rnd.choice([0, 1, 1, 2, 5])):
+            w[k] = f"x{rnd.randrange(1000)}"
+        many.append(" ".join(w))
+        base = w if i % 10 == 9 else base
+    return many
+
+
+@pytest.mark.parametrize("chunk", [16, 2048])
+def test_jaccard_of_tables_too_large_to_broadcast(spark, monkeypatch, chunk):
+    monkeypatch.setattr(session, "SMALL_BYTES", -1)
+    monkeypatch.setattr(stars, "FEW", -1)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    many = chained(9)
+    got = by_id(jaccard.join(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(many))] == similar(many)
+
+
+def test_jaccard_takes_few_tasks(spark):
+    """Small tables are not exchanged: with hundreds of partitions, each exchange costs as many tasks, however few its rows."""
+    many = chained(8)
+    df = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    tracker = spark.sparkContext.statusTracker()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set(merge, "false")
+    spark.sparkContext.setJobGroup("few-tasks", "tasks of op10")
+    try:
+        got = by_id(jaccard.join(df))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset(merge)
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(many))] == similar(many)
+    stages = [tracker.getStageInfo(s) for s in {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}]
+    done = sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < done < 1800
+
+
+def test_components_of_few_and_many_edges(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(160)] + [(-(1 << 62), 5), (7, 7), (299, 1 << 62)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    found = [sorted(components(df).collect()), sorted(components(df.where("a = b")).collect())]
+    monkeypatch.setattr(stars, "FEW", -1)
+    assert found == [sorted(components(df).collect()), []]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
